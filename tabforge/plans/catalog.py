@@ -3,6 +3,8 @@ where one can be written, the equivalent DuckDB SQL over the same parquet tables
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,7 +22,16 @@ class QuerySpec:
 REGISTRY: dict[str, QuerySpec] = {}
 
 
+def _duck_quote(sql: str | None) -> str | None:
+    """``column`` is reserved in DuckDB; quote it as an identifier."""
+    if sql is None:
+        return None
+    return re.sub(r'(?<![\w"])column(?![\w"])', '"column"', sql)
+
+
 def register(name: str, op: str, sql: str | None = None):
+    sql = _duck_quote(sql)
+
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
