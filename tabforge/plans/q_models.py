@@ -1,3 +1,238 @@
-"""Registered queries."""
+"""Queries for CV, models, tuning and stacking.
+
+Model fits have no SQL twin, so these are row-count checks here and are tested
+against brute force / planted signal in ``tests/``. The registered queries use a
+reduced number of boosting rounds and trees (``QUICK`` times the defaults of
+``models.BASE_PARAMS``); rows are never reduced.
+"""
 
 from __future__ import annotations
+
+from functools import reduce
+
+from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from tabforge.operators import encode as E
+from tabforge.operators.features import keep_if_better
+from tabforge.operators.folds import assign_folds, assign_stratified_folds
+from tabforge.operators.infer import BINARY, MULTICLASS, REGRESSION, label_table
+from tabforge.plans import fixtures as X
+from tabforge.plans import models as M
+from tabforge.plans.catalog import register
+
+K = X.K
+QUICK = 0.04  # 500 rounds -> 20
+QUICK_GBT = {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1}
+QUICK_FOREST = {"n_estimators": 20, "max_depth": 6}
+
+
+def doc_frame(spark, d):
+    """documents with text-derived counts over the whole text (JVM-side regex)."""
+    docs = X.table(spark, d, "documents")
+    return docs.select(
+        "doc_id",
+        "lang",
+        "source",
+        "n_chars",
+        F.regexp_count("text", F.lit(r"\S+")).cast("double").alias("n_words"),
+        (F.regexp_count("text", F.lit("\n")) + 1).cast("double").alias("n_lines"),
+    )
+
+
+def doc_data(spark, d, feats=("lang", "source", "n_chars", "n_words", "n_lines"), target_encode=True):
+    """Binary task: labelled docs are train (stratified folds), the rest test;
+    ``source`` (20 values) is target-encoded out of fold, as the reference does
+    for categorical columns with more than 5 values."""
+    base = doc_frame(spark, d)
+    lab = X.table(spark, d, "labels")
+    train = assign_stratified_folds(base.join(lab, "doc_id"), K, "doc_id", "quality").persist(StorageLevel.MEMORY_AND_DISK)
+    test = base.join(lab, "doc_id", "left_anti")
+    enc = []
+    if target_encode and "source" in feats:
+        te = E.fit_target_encoding(train, ["source"], "quality", "fold", K)
+        train = E.apply_target_encoding_oof(train, te, "fold")
+        test = E.apply_target_encoding_test(test, te)
+        enc = ["source"]
+    return M.prepare_model_data(train, test, "doc_id", "quality", "fold", list(feats), BINARY, enc)
+
+
+def _gbt():
+    return M.make_estimator("gbt", BINARY, QUICK_GBT)
+
+
+@register("fit_score", "M3")
+def q_fit_score(spark, d):
+    data = doc_data(spark, d)
+    _, scored = M.fit_score(_gbt, data, 0)
+    return scored.select("id", "fold", vector_to_array("probability")[1].alias("score"), "prediction")
+
+
+@register("cross_validate", "M4 A6")
+def q_cross_validate(spark, d):
+    data = doc_data(spark, d)
+    scores = M.cross_validate(_gbt, data, K)
+    return spark.createDataFrame([("gbt", i, float(s)) for i, s in enumerate(scores)], "model string, fold int, score double")
+
+
+@register("quick_cv", "M5")
+def q_quick_cv(spark, d):
+    data = doc_data(spark, d)
+    s = M.quick_cv(data, k=3, rounds=20)
+    return spark.createDataFrame([(data.task, s)], "task string, score double")
+
+
+@register("model_tournament", "M6")
+def q_model_tournament(spark, d):
+    data = doc_data(spark, d)
+    cands = [
+        ("gbt", _gbt),
+        ("forest", lambda: M.make_estimator("forest", BINARY, QUICK_FOREST)),
+        ("logistic", lambda: M.make_estimator("logistic", BINARY)),
+    ]
+    return M.model_tournament(cands, data, K)
+
+
+@register("oof_predict", "M7")
+def q_oof_predict(spark, d):
+    data = doc_data(spark, d)
+    oof, te = M.oof_predict("gbt", _gbt, data, K)
+    return oof.withColumn("split", F.lit("train")).unionByName(te.withColumn("fold", F.lit(None).cast("int")).withColumn("split", F.lit("test")))
+
+
+def emb_data(spark, d):
+    """Multi-class task: embeddings (10 classes); rows with a hashed fold 0 are
+    the test part, the rest train with stratified folds."""
+    e = X.table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), F.col("label").cast("double").alias("label"))
+    e = assign_folds(e, 5, "vec_id", "part")
+    train = assign_stratified_folds(e.where("part <> 0"), K, "vec_id", "label")
+    tr = train.select(F.col("vec_id").alias("id"), "fold", "label", "features").cache()
+    te = e.where("part = 0").select(F.col("vec_id").alias("id"), "features").cache()
+    return M.ModelData(tr, te, MULTICLASS, 10, ["embedding"])
+
+
+@register("oof_predict_multiclass", "M8 D6")
+def q_oof_multiclass(spark, d):
+    from tabforge.operators.decide import argmax_class
+
+    data = emb_data(spark, d)
+    oof, te = M.oof_predict("logistic", lambda: M.make_estimator("logistic", MULTICLASS), data, K)
+    both = oof.withColumn("split", F.lit("train")).unionByName(te.withColumn("fold", F.lit(None).cast("int")).withColumn("split", F.lit("test")))
+    return both.select("id", "fold", "split", argmax_class("score").alias("predicted"), F.array_max("score").alias("max_proba"))
+
+
+@register("base_models", "M9")
+def q_base_models(spark, d):
+    data = doc_data(spark, d)
+    rows = []
+    for name, factory in M.base_models(BINARY, QUICK):
+        model = factory().fit(data.train)
+        acc = model.transform(data.train).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        rows.append((name, type(model).__name__, float(acc)))
+    return spark.createDataFrame(rows, "model string, fitted string, train_accuracy double")
+
+
+def _pseudo_stack(spark, d):
+    """Stacked base scores: three md5-derived scores per labelled doc plus the
+    doc's length rank, with the stratified folds of the train docs."""
+    from tabforge.functions.scalar import hash_bucket
+
+    f = X.train_docs_folded(spark, d)
+    cols = ["m1", "m2", "m3"]
+    tr = f.select(
+        F.col("doc_id").alias("id"), "fold", F.col("quality").cast("double").alias("label"),
+        *[(hash_bucket("doc_id", c) / F.lit(4294967296.0)).alias(c) for c in cols[:2]],
+        (F.col("n_chars") / F.lit(1000.0)).alias("m3"),
+    )
+    te = X.test_docs(spark, d).select(
+        F.col("doc_id").alias("id"), *[(hash_bucket("doc_id", c) / F.lit(4294967296.0)).alias(c) for c in cols[:2]],
+        (F.col("n_chars") / F.lit(1000.0)).alias("m3"),
+    )
+    return tr, te, cols
+
+
+@register("meta_logistic", "M10 E4")
+def q_meta_logistic(spark, d):
+    tr, te, cols = _pseudo_stack(spark, d)
+    oof, tst = M.meta_logistic(tr, te, cols, K)
+    a = oof.select("id", F.col("proba")[1].alias("p"), F.lit("train").alias("split"))
+    b = tst.select("id", F.col("proba")[1].alias("p"), F.lit("test").alias("split"))
+    return a.unionByName(b)
+
+
+def order_reg(spark, d):
+    """Regression task: order total from line counts and quantities."""
+    li = X.table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).cast("double").alias("n_lines"), F.sum("l_quantity").alias("sum_qty"), F.avg("l_extendedprice").alias("avg_price")
+    )
+    o = X.table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return assign_folds(o, K, "o_orderkey")
+
+
+@register("meta_ridge", "M11")
+def q_meta_ridge(spark, d):
+    o = order_reg(spark, d)
+    cols = ["n_lines", "sum_qty", "avg_price"]
+    tr = o.select(F.col("o_orderkey").alias("id"), "fold", F.col("o_totalprice").alias("label"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
+    oof, _ = M.meta_ridge(tr, None, cols, K)
+    return oof
+
+
+@register("stacking", "M12 J6 M7 M9 M10 D1 D3 D5 I2 I3")
+def q_stacking(spark, d):
+    data = doc_data(spark, d)
+    labels = label_table(X.table(spark, d, "labels"), "quality")
+    models = [
+        ("gbt_a", _gbt),
+        ("forest", lambda: M.make_estimator("forest", BINARY, QUICK_FOREST)),
+        ("logistic", lambda: M.make_estimator("logistic", BINARY)),
+    ]
+    res = M.stack(data, K, labels=labels, models=models)
+    return res.predictions
+
+
+@register("stacking_regression", "M12 M11")
+def q_stacking_regression(spark, d):
+    o = order_reg(spark, d)
+    train, test = o.where("fold <> 0").drop("fold"), o.where("fold = 0").drop("fold")
+    train = assign_folds(train, K, "o_orderkey")
+    feats = ["n_lines", "sum_qty", "avg_price", "o_orderpriority", "o_orderstatus"]
+    data = M.prepare_model_data(train, test, "o_orderkey", "o_totalprice", "fold", feats, REGRESSION)
+    models = [
+        ("gbt_a", lambda: M.make_estimator("gbt", REGRESSION, QUICK_GBT)),
+        ("linear", lambda: M.make_estimator("linear", REGRESSION)),
+    ]
+    return M.stack(data, K, models=models).predictions
+
+
+@register("tune", "M13")
+def q_tune(spark, d):
+    data = doc_data(spark, d)
+    return M.tune("forest", data, K, n_trials=4, scale=QUICK)
+
+
+@register("fit_final", "M14 I3")
+def q_fit_final(spark, d):
+    from tabforge.operators.infer import decode_predictions
+
+    data = doc_data(spark, d)
+    pred = M.fit_final("forest", QUICK_FOREST, data)
+    labels = label_table(X.table(spark, d, "labels"), "quality")
+    return decode_predictions(pred, "code", labels, "prediction").select("id", "prediction")
+
+
+@register("threshold_solve", "D7 D2 M14")
+def q_threshold_solve(spark, d):
+    data = doc_data(spark, d)
+    labels = label_table(X.table(spark, d, "labels"), "quality")
+    pred, t, acc = M.threshold_solve("forest", QUICK_FOREST, data, K, labels)
+    return pred.withColumn("threshold", F.lit(t)).withColumn("oof_accuracy", F.lit(acc))
+
+
+@register("keep_if_better", "F24 M5")
+def q_keep_if_better(spark, d):
+    base = doc_data(spark, d, feats=("lang", "n_chars"), target_encode=False)
+    rich = doc_data(spark, d)
+    rows = [("baseline", M.quick_cv(base, 3, 20), True), ("text_counts", M.quick_cv(rich, 3, 20), False)]
+    return keep_if_better(spark.createDataFrame(rows, "name string, score double, is_baseline boolean"))
