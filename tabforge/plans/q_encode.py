@@ -189,3 +189,27 @@ def q_fold_scatter(spark, d):
     per = s.join(tot, "lang").select("lang", "fold", (F.try_divide(F.col("ts") - F.col("s"), F.col("tn") - F.col("n"))).alias("lang_mean_oof"))
     out = fold_scatter(f, per, ["lang"])
     return out.select("doc_id", "fold", F.round("lang_mean_oof", 6).alias("lang_mean_oof"))
+
+
+@register(
+    "stream_target_encode",
+    "E6 streaming",
+    _SQL_TE_BASE
+    + f""", folds as (select source, ts, tn, unnest(range({K})) as fold from tot),
+per as (select folds.source, (folds.ts - coalesce(s.s, 0) + {M} * g.gm) / (folds.tn - coalesce(s.n, 0) + {M}) as enc
+        from folds left join s on folds.source = s.source and folds.fold = s.fold cross join g),
+tab as (select source, avg(enc) as enc from per group by source)
+select t.doc_id, round(coalesce(tab.enc, g.gm), 9) as source_te from ({X.SQL_TEST_DOCS}) t left join tab on t.source = tab.source cross join g""",
+)
+def q_stream_target_encode(spark, d):
+    """E6 on a stream: the test documents arrive as a parquet stream; the encoding
+    fitted on the (static) labelled documents is applied by a stream-static join."""
+    from tabforge.streaming.apply import read_stream, run_to_table
+
+    tr = X.train_docs_folded(spark, d)
+    te = E.fit_target_encoding(tr, ["source"], "quality", "fold", K)
+    docs = X.table(spark, d, "documents")
+    stream = read_stream(spark, d, docs, glob="documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    unlabelled = stream.join(X.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    out = E.apply_target_encoding_test(unlabelled, te, suffix="_te").select("doc_id", F.round("source_te", 9).alias("source_te"))
+    return run_to_table(out, "stream_te")
