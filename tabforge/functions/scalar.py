@@ -161,4 +161,5 @@ def bin_equal_width(c, lo: float | None, hi: float | None, k: int = 10) -> Colum
     if hi == lo:
         return F.when(x.isNull(), F.lit(None).cast("int")).otherwise(F.lit(k // 2 - (1 if k % 2 == 0 else 0)))
     b = F.ceil((x - F.lit(float(lo))) / F.lit(float(hi - lo)) * F.lit(k)).cast("int") - 1
-    return F.when((x < lo) | (x > hi), F.lit(None).cast("int")).otherwise(F.greatest(F.lit(0), b))
+    # greatest() skips nulls, so a null value must be caught before it
+    return F.when(x.isNull() | (x < lo) | (x > hi), F.lit(None).cast("int")).otherwise(F.greatest(F.lit(0), b))

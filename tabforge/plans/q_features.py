@@ -330,7 +330,8 @@ gs as (select split_part(pid, '_', 1) as g, count(*) as n from tr group by 1)
 select b.pid,
   coalesce(nullif(split_part(cabin, '/', 1), ''), '__NA__') as Cabin_Deck,
   try_cast(split_part(cabin, '/', 2) as double) as Cabin_Num,
-  case when try_cast(split_part(cabin, '/', 2) as double) < lo or try_cast(split_part(cabin, '/', 2) as double) > hi then null
+  case when try_cast(split_part(cabin, '/', 2) as double) is null or try_cast(split_part(cabin, '/', 2) as double) < lo
+         or try_cast(split_part(cabin, '/', 2) as double) > hi then null
        else cast(greatest(0, ceil((try_cast(split_part(cabin, '/', 2) as double) - lo) / (hi - lo) * 10) - 1) as double) end as CabinNum_bin,
   coalesce(nullif(split_part(cabin, '/', 3), ''), '__NA__') as Cabin_Side,
   try_cast(split_part(pid, '_', 1) as double) as "Group",
