@@ -300,13 +300,13 @@ def data_summary(df: DataFrame, y: str, cols: list[str], num_cols: list[str], me
     if not cat:
         return base.withColumn("n_distinct", F.lit(None).cast("long")).withColumn("examples", F.lit(None).cast("string"))
     counts = value_counts(df, cat).where(F.col("value").isNotNull())
+    n_distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    # rank <= 5 right on the window lets Spark keep 5 rows per partition before the shuffle
     w = Window.partitionBy("column").orderBy("value")
+    smallest = counts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= 5)
     ex = (
-        counts.withColumn("rk", F.row_number().over(w))
-        .groupBy("column")
-        .agg(
-            F.count(F.lit(1)).alias("n_distinct"),
-            F.array_join(F.array_sort(F.collect_list(F.when(F.col("rk") <= 5, F.col("value")))), "|").alias("examples"),
-        )
+        smallest.groupBy("column")
+        .agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("examples"))
+        .join(n_distinct, "column")
     )
     return base.join(bounded_broadcast(ex), "column", "left")

@@ -236,3 +236,14 @@ def q_keep_if_better(spark, d):
     rich = doc_data(spark, d)
     rows = [("baseline", M.quick_cv(base, 3, 20), True), ("text_counts", M.quick_cv(rich, 3, 20), False)]
     return keep_if_better(spark.createDataFrame(rows, "name string, score double, is_baseline boolean"))
+
+
+@register("prepare_features", "E9 E8 E1 E2 E3 E7 E5 E6")
+def q_prepare_features(spark, d):
+    """Impute, encode and assemble train and test once (the vector table
+    every model query starts from)."""
+    data = doc_data(spark, d)
+    a = data.train.select("id", "fold", "label", vector_to_array("features").alias("features"), F.lit("train").alias("split"))
+    b = data.test.select("id", F.lit(None).cast("int").alias("fold"), F.lit(None).cast("double").alias("label"),
+                         vector_to_array("features").alias("features"), F.lit("test").alias("split"))
+    return a.unionByName(b)
