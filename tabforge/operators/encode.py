@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,13 +80,18 @@ def fit_target_encoding(
 ) -> TargetEncoding:
     """One aggregate over (column, value, fold) for all columns at once."""
     labelled = train.where(F.col(y).isNotNull())
-    g = global_mean(labelled, y)
     kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _key(c).alias("value")) for c in cat_cols])).alias("kv")
     stats = (
         labelled.select(kv, F.col(fold_col).alias("fold"), F.col(y).cast("double").alias("_y"))
         .groupBy("kv.column", "kv.value", "fold")
         .agg(F.sum("_y").alias("s"), F.count(F.lit(1)).alias("n"))
     )
+    # the fitted table is small (values x folds); keep it materialised so the size
+    # check and every apply reuse it instead of rescanning train
+    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    # every row lands once per column, so one column's sums give the global mean
+    r = stats.where(F.col("column") == cat_cols[0]).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    g = (r["s"] / r["n"]) if r["n"] else None
     return TargetEncoding(stats, g, k, smoothing, list(cat_cols))
 
 
