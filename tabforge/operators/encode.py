@@ -181,12 +181,33 @@ def impute_constant(df: DataFrame, cols: list[str], fill: str = NA_TOKEN) -> Dat
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(fill)) for c in cols})
 
 
-def fit_ordinal(train: DataFrame, cols: list[str]) -> DataFrame:
-    """E3 fit: (column, value, code) with codes 0.. in sorted text order."""
+ORDINAL_WINDOW_ROWS = 1_000_000  # distinct values ranked in one window task at most
+
+
+def fit_ordinal(train: DataFrame, cols: list[str], partitions: int | None = None) -> DataFrame:
+    """E3 fit: (column, value, code) with codes 0.. in sorted text order.
+
+    A distinct table proven to hold at most ``ORDINAL_WINDOW_ROWS`` values is ranked
+    by one window per column. A larger one is range-partitioned on (column, value)
+    and checkpointed, so every partition holds a contiguous, stable slice of the
+    order. Per-(partition, column) counts give each partition's offset (a small
+    table), and the rank inside a partition is a local ``row_number``."""
     kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
     distinct = train.select(kv.alias("kv")).select("kv.column", "kv.value").where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    from tabforge.session import cut_lineage, row_count_at_most
+
+    if row_count_at_most(distinct, ORDINAL_WINDOW_ROWS):
+        w = Window.partitionBy("column").orderBy("value")
+        return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    n = partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(distinct.repartitionByRange(n, "column", "value").withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p", "column").agg(F.count(F.lit(1)).alias("_n"))
+    w_off = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", "column", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p", "column").orderBy("value")))
+    return local.join(bounded_broadcast(offsets), ["_p", "column"]).select(
+        "column", "value", (F.col("_off") + F.col("_r") - 1).cast("int").alias("code")
+    )
 
 
 def apply_ordinal(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:

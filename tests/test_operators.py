@@ -382,3 +382,16 @@ def test_scan_prunes_columns(spark):
 
     plan = em.queries()["target_encode_oof"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan or "ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>" in plan
+
+
+def test_ordinal_large_path_equals_window_path(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(f"v{rng.randint(0, 400):04d}", f"w{rng.randint(0, 50)}") for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    small = {(r["column"], r["value"]): r["code"] for r in E.fit_ordinal(df, ["a", "b"]).collect()}
+    monkeypatch.setattr(E, "ORDINAL_WINDOW_ROWS", 10)
+    big = {(r["column"], r["value"]): r["code"] for r in E.fit_ordinal(df, ["a", "b"], partitions=7).collect()}
+    assert small == big
+    for c in ("a", "b"):
+        vals = sorted({v for (cc, v) in small if cc == c})
+        assert [small[(c, v)] for v in vals] == list(range(len(vals)))
