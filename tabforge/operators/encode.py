@@ -74,6 +74,9 @@ class TargetEncoding:
     smoothing: float
     columns: list[str] = field(default_factory=list)
 
+    def release(self):
+        self.stats.unpersist()
+
 
 def fit_target_encoding(
     train: DataFrame, cat_cols: list[str], y: str, fold_col: str = "fold", k: int = 5, smoothing: float = SMOOTHING

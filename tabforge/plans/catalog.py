@@ -42,16 +42,17 @@ def register(name: str, op: str, sql: str | None = None):
 
 
 def load_all() -> dict[str, QuerySpec]:
-    # importing the modules registers their queries
+    # importing the modules registers their queries; the model fits (the heaviest,
+    # rows-only checks) come last
     from tabforge.plans import (  # noqa: F401
-        q_blend,
-        q_encode,
-        q_features,
+        q_sources,
         q_infer,
-        q_models,
         q_profile,
-        q_sources,
+        q_features,
+        q_encode,
+        q_blend,
         q_text,
+        q_models,
     )
 
     return REGISTRY

@@ -413,6 +413,7 @@ def stack(
     wide_te, _ = _expand_scores(wide_te, names, data.task, data.n_classes)
     wide_tr = cut_lineage(wide_tr.select("id", "fold", "label", *cols))
     wide_te = cut_lineage(wide_te.select("id", *cols))
+    data.release()  # the meta level reads only the checkpointed score tables
     thr = None
     if data.task == REGRESSION:
         oof, te = meta_ridge(wide_tr, wide_te, cols, k)
@@ -466,7 +467,7 @@ def sample_params(family: str, n: int, seed: int = SEED, scale: float = 1.0) ->
     return out
 
 
-def tune(family: str, data: ModelData, k: int, n_trials: int = 100, scale: float = 1.0, parallelism: int = 4) -> DataFrame:
+def tune(family: str, data: ModelData, k: int, n_trials: int = 100, scale: float = 1.0, parallelism: int = 2) -> DataFrame:
     """Best of ``n_trials`` sampled parameter sets by k-fold CV on the fold
     column (CrossValidator with foldCol, candidates fitted in parallel)."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator

@@ -49,13 +49,27 @@ def doc_data(spark, d, feats=("lang", "source", "n_chars", "n_words", "n_lines")
     lab = X.table(spark, d, "labels")
     train = assign_stratified_folds(base.join(lab, "doc_id"), K, "doc_id", "quality").persist(StorageLevel.MEMORY_AND_DISK)
     test = base.join(lab, "doc_id", "left_anti")
-    enc = []
+    enc, te = [], None
     if target_encode and "source" in feats:
         te = E.fit_target_encoding(train, ["source"], "quality", "fold", K)
         train = E.apply_target_encoding_oof(train, te, "fold")
         test = E.apply_target_encoding_test(test, te)
         enc = ["source"]
-    return M.prepare_model_data(train, test, "doc_id", "quality", "fold", list(feats), BINARY, enc)
+    data = M.prepare_model_data(train, test, "doc_id", "quality", "fold", list(feats), BINARY, enc)
+    if te is not None:
+        te.release()  # the persisted vectors are materialised; lineage still recomputes if needed
+    return data
+
+
+def _finish(df, *datas):
+    """Materialise a model query's (small) result in the checkpoint folder and
+    release the persisted vectors it was computed from."""
+    from tabforge.session import cut_lineage
+
+    out = cut_lineage(df)
+    for d_ in datas:
+        d_.release()
+    return out
 
 
 def _gbt():
@@ -66,13 +80,14 @@ def _gbt():
 def q_fit_score(spark, d):
     data = doc_data(spark, d)
     _, scored = M.fit_score(_gbt, data, 0)
-    return scored.select("id", "fold", vector_to_array("probability")[1].alias("score"), "prediction")
+    return _finish(scored.select("id", "fold", vector_to_array("probability")[1].alias("score"), "prediction"), data)
 
 
 @register("cross_validate", "M4 A6")
 def q_cross_validate(spark, d):
     data = doc_data(spark, d)
     scores = M.cross_validate(_gbt, data, K)
+    data.release()
     return spark.createDataFrame([("gbt", i, float(s)) for i, s in enumerate(scores)], "model string, fold int, score double")
 
 
@@ -80,6 +95,7 @@ def q_cross_validate(spark, d):
 def q_quick_cv(spark, d):
     data = doc_data(spark, d)
     s = M.quick_cv(data, k=3, rounds=20)
+    data.release()
     return spark.createDataFrame([(data.task, s)], "task string, score double")
 
 
@@ -91,14 +107,15 @@ def q_model_tournament(spark, d):
         ("forest", lambda: M.make_estimator("forest", BINARY, QUICK_FOREST)),
         ("logistic", lambda: M.make_estimator("logistic", BINARY)),
     ]
-    return M.model_tournament(cands, data, K)
+    return _finish(M.model_tournament(cands, data, K), data)
 
 
 @register("oof_predict", "M7")
 def q_oof_predict(spark, d):
     data = doc_data(spark, d)
     oof, te = M.oof_predict("gbt", _gbt, data, K)
-    return oof.withColumn("split", F.lit("train")).unionByName(te.withColumn("fold", F.lit(None).cast("int")).withColumn("split", F.lit("test")))
+    both = oof.withColumn("split", F.lit("train")).unionByName(te.withColumn("fold", F.lit(None).cast("int")).withColumn("split", F.lit("test")))
+    return _finish(both, data)
 
 
 def emb_data(spark, d):
@@ -119,7 +136,7 @@ def q_oof_multiclass(spark, d):
     data = emb_data(spark, d)
     oof, te = M.oof_predict("logistic", lambda: M.make_estimator("logistic", MULTICLASS), data, K)
     both = oof.withColumn("split", F.lit("train")).unionByName(te.withColumn("fold", F.lit(None).cast("int")).withColumn("split", F.lit("test")))
-    return both.select("id", "fold", "split", argmax_class("score").alias("predicted"), F.array_max("score").alias("max_proba"))
+    return _finish(both.select("id", "fold", "split", argmax_class("score").alias("predicted"), F.array_max("score").alias("max_proba")), data)
 
 
 @register("base_models", "M9")
@@ -130,6 +147,7 @@ def q_base_models(spark, d):
         model = factory().fit(data.train)
         acc = model.transform(data.train).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
         rows.append((name, type(model).__name__, float(acc)))
+    data.release()
     return spark.createDataFrame(rows, "model string, fitted string, train_accuracy double")
 
 
@@ -158,7 +176,7 @@ def q_meta_logistic(spark, d):
     oof, tst = M.meta_logistic(tr, te, cols, K)
     a = oof.select("id", F.col("proba")[1].alias("p"), F.lit("train").alias("split"))
     b = tst.select("id", F.col("proba")[1].alias("p"), F.lit("test").alias("split"))
-    return a.unionByName(b)
+    return _finish(a.unionByName(b))
 
 
 def order_reg(spark, d):
@@ -189,7 +207,7 @@ def q_stacking(spark, d):
         ("logistic", lambda: M.make_estimator("logistic", BINARY)),
     ]
     res = M.stack(data, K, labels=labels, models=models)
-    return res.predictions
+    return _finish(res.predictions)
 
 
 @register("stacking_regression", "M12 M11")
@@ -203,13 +221,13 @@ def q_stacking_regression(spark, d):
         ("gbt_a", lambda: M.make_estimator("gbt", REGRESSION, QUICK_GBT)),
         ("linear", lambda: M.make_estimator("linear", REGRESSION)),
     ]
-    return M.stack(data, K, models=models).predictions
+    return _finish(M.stack(data, K, models=models).predictions)
 
 
 @register("tune", "M13")
 def q_tune(spark, d):
     data = doc_data(spark, d)
-    return M.tune("forest", data, K, n_trials=4, scale=QUICK)
+    return _finish(M.tune("forest", data, K, n_trials=4, scale=QUICK), data)
 
 
 @register("fit_final", "M14 I3")
@@ -219,7 +237,7 @@ def q_fit_final(spark, d):
     data = doc_data(spark, d)
     pred = M.fit_final("forest", QUICK_FOREST, data)
     labels = label_table(X.table(spark, d, "labels"), "quality")
-    return decode_predictions(pred, "code", labels, "prediction").select("id", "prediction")
+    return _finish(decode_predictions(pred, "code", labels, "prediction").select("id", "prediction"), data)
 
 
 @register("threshold_solve", "D7 D2 M14")
@@ -227,7 +245,7 @@ def q_threshold_solve(spark, d):
     data = doc_data(spark, d)
     labels = label_table(X.table(spark, d, "labels"), "quality")
     pred, t, acc = M.threshold_solve("forest", QUICK_FOREST, data, K, labels)
-    return pred.withColumn("threshold", F.lit(t)).withColumn("oof_accuracy", F.lit(acc))
+    return _finish(pred.withColumn("threshold", F.lit(t)).withColumn("oof_accuracy", F.lit(acc)), data)
 
 
 @register("keep_if_better", "F24 M5")
@@ -235,6 +253,8 @@ def q_keep_if_better(spark, d):
     base = doc_data(spark, d, feats=("lang", "n_chars"), target_encode=False)
     rich = doc_data(spark, d)
     rows = [("baseline", M.quick_cv(base, 3, 20), True), ("text_counts", M.quick_cv(rich, 3, 20), False)]
+    base.release()
+    rich.release()
     return keep_if_better(spark.createDataFrame(rows, "name string, score double, is_baseline boolean"))
 
 
@@ -246,4 +266,4 @@ def q_prepare_features(spark, d):
     a = data.train.select("id", "fold", "label", vector_to_array("features").alias("features"), F.lit("train").alias("split"))
     b = data.test.select("id", F.lit(None).cast("int").alias("fold"), F.lit(None).cast("double").alias("label"),
                          vector_to_array("features").alias("features"), F.lit("test").alias("split"))
-    return a.unionByName(b)
+    return _finish(a.unionByName(b), data)

@@ -27,6 +27,8 @@ def build_session(master: str | None = None, app: str = "tabforge", **conf) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # local mode runs everything in the driver JVM; only applies to a new JVM
+        "spark.driver.memory": "8g",
     }
     defaults.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for k, v in defaults.items():

@@ -25,6 +25,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.checkpoint.dir", ckpt)
+        .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

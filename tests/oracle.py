@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -67,11 +68,11 @@ def main(argv):
 
     sf_dir = argv[0] if argv and argv[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in argv if not a.startswith("/")]
-    spark = build_session("local[8]", spark__sql__shuffle__partitions="8")
+    spark = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory=os.environ.get("ORACLE_DRIVER_MEMORY", "8g"))
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0
-    for n in names or sorted(qs):
+    for n in names or list(qs):
         if n not in sqls:
             t0 = time.time()
             try:
