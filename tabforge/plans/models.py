@@ -291,7 +291,7 @@ def meta_logistic(train_s: DataFrame, test_s: DataFrame | None, cols: list[str],
         scale = E.fit_standard_scale(tr, cols)
         ztr = E.assemble(E.apply_standard_scale(tr, scale, "_z"), [c + "_z" for c in cols], "zf")
         lr = LogisticRegression(featuresCol="zf", labelCol="label", regParam=1.0 / (c_reg * n), elasticNetParam=0.0,
-                                standardization=False, maxIter=1000, tol=1e-10)
+                                standardization=False, maxIter=1000, tol=1e-6)
         model = lr.fit(ztr)
         va = E.assemble(E.apply_standard_scale(train_s.where(F.col("fold") == f), scale, "_z"), [c + "_z" for c in cols], "zf")
         oof = model.transform(va).select("id", "fold", "label", vector_to_array("probability").alias("proba"))

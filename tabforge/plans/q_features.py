@@ -232,7 +232,7 @@ def q_drop_id_like(spark, d):
 @register(
     "carry_columns",
     "F19",
-    "select p_partkey, len(p_name) as name_len, p_brand, p_type, p_size, p_retailprice from part",
+    "select p_partkey, cast(len(p_name) as int) as name_len, p_brand, p_type, p_size, p_retailprice from part",
 )
 def q_carry_columns(spark, d):
     p = X.table(spark, d, "part")
