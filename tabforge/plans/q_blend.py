@@ -17,8 +17,10 @@ from tabforge.plans.catalog import register
 _SC = X.sql_scores("p")
 
 
-def _sql_sweep(lo, step, n):
-    return f"""select round(t, 9) as threshold, round(avg(case when cast(p >= t as int) = y then 1.0 else 0.0 end), 9) as accuracy
+def _sql_sweep(lo, step, n, rounded=True):
+    acc = "avg(case when cast(p >= t as int) = y then 1.0 else 0.0 end)"
+    sel = f"round(t, 9) as threshold, round({acc}, 9) as accuracy" if rounded else f"t as threshold, {acc} as accuracy"
+    return f"""select {sel}
 from ({_SC}) s, (select {lo}e0 + {step}e0 * cast(i as double) as t from range({n}) r(i)) g group by t"""
 
 
@@ -40,8 +42,8 @@ def q_threshold_sweep_fine(spark, d):
 @register(
     "best_threshold",
     "D3",
-    f"""select case when accuracy > 0 then threshold else 0.5 end as threshold, accuracy from ({_sql_sweep(*D.GRID)})
-order by accuracy desc, threshold limit 1""",
+    f"""select round(case when accuracy > 0 then threshold else 0.5 end, 9) as threshold, round(accuracy, 9) as accuracy
+from ({_sql_sweep(*D.GRID, rounded=False)}) order by accuracy desc, threshold limit 1""",
 )
 def q_best_threshold(spark, d):
     s = D.threshold_sweep(X.scores(spark, d), "y", "p", D.GRID)
@@ -52,7 +54,7 @@ def q_best_threshold(spark, d):
 @register(
     "threshold_gain",
     "D4",
-    f"""with b as (select case when accuracy > 0 then threshold else 0.5 end as threshold, accuracy from ({_sql_sweep(*D.GRID_FINE)})
+    f"""with b as (select case when accuracy > 0 then threshold else 0.5 end as threshold, accuracy from ({_sql_sweep(*D.GRID_FINE, rounded=False)})
                order by accuracy desc, threshold limit 1),
 h as (select avg(case when cast(p >= 0.5 as int) = y then 1.0 else 0.0 end) as acc_at_half from ({_SC}))
 select round(b.threshold, 9) as threshold, round(b.accuracy, 9) as best_accuracy, round(h.acc_at_half, 9) as acc_at_half,
@@ -66,7 +68,7 @@ def q_threshold_gain(spark, d):
 @register(
     "apply_threshold",
     "D5",
-    f"""with b as (select case when accuracy > 0 then threshold else 0.5 end as t from ({_sql_sweep(*D.GRID)})
+    f"""with b as (select case when accuracy > 0 then threshold else 0.5 end as t from ({_sql_sweep(*D.GRID, rounded=False)})
                order by accuracy desc, threshold limit 1)
 select s.doc_id, cast(s.p >= b.t as int) as prediction from ({_SC}) s, b""",
 )

@@ -95,17 +95,17 @@ def q_any_flag(spark, d):
 @register(
     "log1p_cols",
     "F8",
-    f"""select l_orderkey, l_linenumber, round(ln(1 + ({_SQL_TOTAL})), 9) as log_total,
-  round(ln(1 + coalesce(l_quantity, 0)), 9) as log_l_quantity, round(ln(1 + coalesce(l_discount, 0)), 9) as log_l_discount from ({LM})""",
+    f"""select l_orderkey, l_linenumber, round(ln(1 + ({_SQL_TOTAL})), 6) as log_total,
+  round(ln(1 + coalesce(l_quantity, 0)), 6) as log_l_quantity, round(ln(1 + coalesce(l_discount, 0)), 6) as log_l_discount from ({LM})""",
 )
 def q_log1p(spark, d):
     lm = X.line_measures(spark, d)
     return lm.select(
         "l_orderkey",
         "l_linenumber",
-        F.round(S.log1p(S.row_total(_MEAS)), 9).alias("log_total"),
-        F.round(S.log1p(F.coalesce("l_quantity", F.lit(0.0))), 9).alias("log_l_quantity"),
-        F.round(S.log1p(F.coalesce("l_discount", F.lit(0.0))), 9).alias("log_l_discount"),
+        F.round(S.log1p(S.row_total(_MEAS)), 6).alias("log_total"),
+        F.round(S.log1p(F.coalesce("l_quantity", F.lit(0.0))), 6).alias("log_l_quantity"),
+        F.round(S.log1p(F.coalesce("l_discount", F.lit(0.0))), 6).alias("log_l_discount"),
     )
 
 
@@ -177,13 +177,13 @@ def q_interact_numeric(spark, d):
 @register(
     "interact_log",
     "F14",
-    f"""select l_orderkey, l_linenumber, round(coalesce(l_discount, med) * ln(1 + coalesce(l_quantity, 0) + coalesce(l_tax, 0)), 9) as disc_x_logq
+    f"""select l_orderkey, l_linenumber, round(coalesce(l_discount, med) * ln(1 + coalesce(l_quantity, 0) + coalesce(l_tax, 0)), 6) as disc_x_logq
 from ({LM}) cross join {_MED}""",
 )
 def q_interact_log(spark, d):
     lm = X.line_measures(spark, d)
     med = fit_medians(lm, ["l_discount"])["l_discount"]
-    return lm.select("l_orderkey", "l_linenumber", F.round(S.interact_log("l_discount", S.row_total(["l_quantity", "l_tax"]), med), 9).alias("disc_x_logq"))
+    return lm.select("l_orderkey", "l_linenumber", F.round(S.interact_log("l_discount", S.row_total(["l_quantity", "l_tax"]), med), 6).alias("disc_x_logq"))
 
 
 @register(
@@ -336,25 +336,25 @@ select b.pid,
   coalesce(nullif(split_part(cabin, '/', 3), ''), '__NA__') as Cabin_Side,
   try_cast(split_part(pid, '_', 1) as double) as "Group",
   coalesce(gs.n, 1) as GroupSize, cast(coalesce(gs.n, 1) = 1 as int) as IsSolo,
-  round({tot}, 6) as TotalSpend, cast({tot} > 0 as int) as AnySpend, round(ln(1 + {tot}), 9) as LogTotalSpend,
+  round({tot}, 6) as TotalSpend, cast({tot} > 0 as int) as AnySpend, round(ln(1 + {tot}), 6) as LogTotalSpend,
   round({tot} / coalesce(nullif(coalesce(gs.n, 1), 0), 1), 6) as SpendPerPerson,
-  coalesce(l_extendedprice, 0) as l_extendedprice, round(ln(1 + coalesce(l_extendedprice, 0)), 9) as Logl_extendedprice,
-  coalesce(l_discount, 0) as l_discount, round(ln(1 + coalesce(l_discount, 0)), 9) as Logl_discount,
-  coalesce(l_tax, 0) as l_tax, round(ln(1 + coalesce(l_tax, 0)), 9) as Logl_tax,
+  coalesce(l_extendedprice, 0) as l_extendedprice, round(ln(1 + coalesce(l_extendedprice, 0)), 6) as Logl_extendedprice,
+  coalesce(l_discount, 0) as l_discount, round(ln(1 + coalesce(l_discount, 0)), 6) as Logl_discount,
+  coalesce(l_tax, 0) as l_tax, round(ln(1 + coalesce(l_tax, 0)), 6) as Logl_tax,
   case when lower(trim(cryo)) = 'true' then 1 when lower(trim(cryo)) = 'false' then 0 else -1 end as cryo_int,
   cast(lower(trim(cryo)) = 'true' and {tot} > 0 as int) as CryoSpend_flag,
   cast(case when age > 0 and age <= 12 then 0 when age > 12 and age <= 18 then 1 when age > 18 and age <= 35 then 2
        when age > 35 and age <= 60 then 3 when age > 60 and age <= 200 then 4 end as double) as age_bin,
   round(coalesce(age, med) * cast(lower(trim(cryo)) = 'true' as int), 9) as age_x_Flag,
-  round(coalesce(age, med) * ln(1 + {tot}), 9) as age_x_Spend,
+  round(coalesce(age, med) * ln(1 + {tot}), 6) as age_x_Spend,
   coalesce(nullif(split_part(cabin, '/', 1), ''), '__NA__') || '_' || coalesce(dest, '__NA__') as Deck_x_dest,
   coalesce(home, '__NA__') || '_' || coalesce(dest, '__NA__') as home_x_dest,
   cryo, age, home, dest, case when fold = 0 then 'test' else 'train' end as split
 from b cross join fit left join gs on split_part(b.pid, '_', 1) = gs.g"""
 
 
-_ROUND6 = {"TotalSpend", "SpendPerPerson"}
-_ROUND9 = {"LogTotalSpend", "Logl_extendedprice", "Logl_discount", "Logl_tax", "age_x_Flag", "age_x_Spend"}
+_ROUND6 = {"TotalSpend", "SpendPerPerson", "LogTotalSpend", "Logl_extendedprice", "Logl_discount", "Logl_tax", "age_x_Spend"}
+_ROUND9 = {"age_x_Flag"}
 
 
 @register("domain_features", "F22 F1 F3-F15 F19 J2 J3", _sql_domain())
