@@ -161,8 +161,15 @@ def apply_target_encoding_test(df: DataFrame, te: TargetEncoding, suffix: str =
 # ----------------------------------------------------------------------------- E1-E4, E7
 
 
-def fit_medians(train: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """E1 fit: exact medians (distributed, see quantile.py)."""
+def fit_medians(train: DataFrame, cols: list[str], approximate: bool = False, accuracy: int = 10_000) -> dict[str, float | None]:
+    """E1 fit: exact medians (a few column scans, see quantile.py), or with
+    ``approximate=True`` one scan of mergeable quantile sketches
+    (``percentile_approx``; rank error at most n / accuracy)."""
+    if approximate:
+        if not cols:
+            return {}
+        r = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in cols]).first()
+        return {c: r[c] for c in cols}
     return exact_medians(train, cols)
 
 
@@ -197,9 +204,10 @@ def fit_ordinal(train: DataFrame, cols: list[str], partitions: int | None = None
     table), and the rank inside a partition is a local ``row_number``."""
     kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
     distinct = train.select(kv.alias("kv")).select("kv.column", "kv.value").where(F.col("value").isNotNull()).distinct()
-    from tabforge.session import cut_lineage, row_count_at_most
+    from tabforge.session import cut_lineage
 
-    if row_count_at_most(distinct, ORDINAL_WINDOW_ROWS):
+    distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)  # counted once, then ranked from the cache
+    if distinct.count() <= ORDINAL_WINDOW_ROWS:
         w = Window.partitionBy("column").orderBy("value")
         return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
     n = partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,12 @@ def row_count_at_most(df: DataFrame, limit: int) -> bool:
 
 def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only behind a proven row bound; otherwise AQE decides
-    (shuffle join, skew-split, or runtime broadcast when statistics allow)."""
-    if row_count_at_most(small, max_rows):
+    (shuffle join with skew splitting, or a runtime broadcast when statistics allow).
+
+    The small side is persisted and counted in full first, so its lineage (often an
+    aggregate over the big input) runs once and the join reads the materialised
+    rows; a limit-based probe would compute the aggregate's map stage twice."""
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    if small.count() <= max_rows:
         return F.broadcast(small)
     return small
