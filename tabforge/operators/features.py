@@ -130,7 +130,7 @@ def fit_generic(train: DataFrame) -> GenericPlan:
     r = train.agg(*aggs).first()
     n = r["_n"]
     cand = [c for c in text if r[f"{c}|hll"] >= 0.85 * ID_LIKE_SHARE * n and r[f"{c}|hll"] > 0.85 * ID_LIKE_MIN]
-    exact = train.agg(*[F.count_distinct(c).alias(c) for c in cand]).first() if cand else {}
+    exact = train.agg(*[F.count_distinct(S.digest128(c)).alias(c) for c in cand]).first() if cand else {}
     plan = GenericPlan()
     plan.dropped = [c for c in cand if exact[c] > ID_LIKE_SHARE * n and exact[c] > ID_LIKE_MIN]
     rest = [c for c in text if c not in plan.dropped]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.functions.scalar import BOOL_TF, BOOLISH_MAP, _lit_regex, norm_text
+from tabforge.functions.scalar import BOOL_TF, BOOLISH_MAP, _lit_regex, digest128, norm_text
 from tabforge.session import bounded_broadcast
 
 BINARY, MULTICLASS, REGRESSION = "BINARY", "MULTICLASS", "REGRESSION"
@@ -79,7 +79,8 @@ def id_like_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     survivors = [c for c in cols if pre[c] >= 0.85 * ID_LIKE_SHARE * n and pre[c] > 0.85 * ID_LIKE_MIN]
     exact = {}
     if survivors:
-        r = df.agg(*[F.count_distinct(c).alias(c) for c in survivors]).first()
+        # distinct digests, not the values: long texts are never shuffled
+        r = df.agg(*[F.count_distinct(digest128(c)).alias(c) for c in survivors]).first()
         exact = {c: r[c] for c in survivors}
     rows = [(c, int(c in exact and exact[c] > ID_LIKE_SHARE * n and exact[c] > ID_LIKE_MIN)) for c in cols]
     return df.sparkSession.createDataFrame(rows, "column string, id_like int")
