@@ -395,3 +395,22 @@ def test_ordinal_large_path_equals_window_path(spark, monkeypatch):
     for c in ("a", "b"):
         vals = sorted({v for (cc, v) in small if cc == c})
         assert [small[(c, v)] for v in vals] == list(range(len(vals)))
+
+
+def test_hot_key_group_ops_are_aggregate_joins(spark):
+    # one key holds a third of the rows
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("g"),
+                                  (F.col("id") % 7).cast("double").alias("v"))
+    out = FE.group_transform(FE.group_size_join(df, "g"), "g", "v")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    r = out.where("g = 0").select("group_size", "grp_count").distinct().collect()
+    assert [(x["group_size"], x["grp_count"]) for x in r] == [(1000, 1000)]
+    assert out.where("g = 1").first()["is_solo"] == 1
+
+
+def test_approximate_median_close_to_exact(spark):
+    df = spark.range(10001).select((F.col("id") * 3.0).alias("x"))
+    exact = E.fit_medians(df, ["x"])["x"]
+    approx = E.fit_medians(df, ["x"], approximate=True)["x"]
+    assert exact == 15000.0 and abs(approx - exact) <= 3.0 * 10001 / 10_000 + 3
