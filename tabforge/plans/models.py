@@ -141,11 +141,16 @@ def prepare_model_data(
     tr = E.assemble(tr, prep.feature_cols).select(
         F.col(id_col).alias("id"), F.col(fold_col).alias("fold"), F.col(label_col).cast("double").alias("label"), "features"
     )
-    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
+    # Cut the lineage here (reliable checkpoint in spark.checkpoint.dir): every fold
+    # fit, transform and union below then plans against a short scan instead of
+    # the whole feature pipeline, which also keeps plan descriptions small. The
+    # checkpointed copy is persisted for the many passes of the fits.
+    tr = cut_lineage(tr).persist(StorageLevel.MEMORY_AND_DISK)
     te = None
     if test is not None:
         te = E.apply_prepare(test, prep, keep=[id_col])
-        te = E.assemble(te, prep.feature_cols).select(F.col(id_col).alias("id"), "features").persist(StorageLevel.MEMORY_AND_DISK)
+        te = E.assemble(te, prep.feature_cols).select(F.col(id_col).alias("id"), "features")
+        te = cut_lineage(te).persist(StorageLevel.MEMORY_AND_DISK)
     n_classes = 0
     if task != REGRESSION:
         n_classes = int(tr.agg(F.max("label")).first()[0]) + 1
