@@ -63,10 +63,10 @@ def most_different(a: int, b: int, percent: int) -> int:
 
 
 def parity_sketch(grams: np.ndarray, percent: int) -> bytes:
-    """Parity of the gram count in each of 2^k cells, about four per allowed difference. Two
-    sketches differ in at most as many bits as the sets differ in grams."""
+    """Parity of the gram count in each of 2^k cells, about sixteen per allowed difference. Two
+    sketches differ in at most as many bits as the sets differ in grams, and in nearly as many."""
     cells = 64
-    while cells < 4 * most_different(len(grams), len(grams), percent):
+    while cells < 16 * most_different(len(grams), len(grams), percent):
         cells *= 2
     at = np.bincount((mix(grams) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
     return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
@@ -257,10 +257,13 @@ def _bucket(n, percent: int):
 
 
 def _first_candidates(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """For every node at most one query (q, d): of the smallest nodes in its short lists, the one
-    whose sketch is closest."""
-    at = lists.withColumn("b", _bucket(F.col("n"), percent))
-    heads = at.groupBy("gram", "b").agg(F.min("uid").alias("q"))
+    """For every node at most one query (q, d). A list's head is its node with the most shared
+    lists (the text that others were made from shares all of its own); of the heads of a node's
+    lists the one whose sketch is closest is taken."""
+    shared = lists.groupBy("uid").agg(F.count(F.lit(1)).alias("shared"))
+    at = lists.join(shared, "uid").withColumn("b", _bucket(F.col("n"), percent))
+    best = F.max(F.struct(F.col("shared"), (-F.col("uid")).alias("u")))
+    heads = at.groupBy("gram", "b").agg(best.alias("h")).select("gram", "b", (-F.col("h.u")).alias("q"))
     near = heads.unionByName(heads.withColumn("b", F.col("b") + 1))
     pairs = at.join(near, ["gram", "b"]).filter("q <> uid").select("q", F.col("uid").alias("d")).distinct()
     own = nodes.select("uid", "n", "sketch")
