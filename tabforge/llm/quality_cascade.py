@@ -28,7 +28,7 @@ MAX_SYMBOL_PERCENT = 30
 MAX_DUP_LINE_PERCENT = 50
 MAX_UPPER_PERCENT = 60
 MAX_EXCLAIM_PERCENT = 30
-#: Rows of the sample that costs and selectivities are measured on; no result depends on it.
+#: Expected rows of the sample that costs and selectivities are measured on; no result depends on it.
 SAMPLE_ROWS = 2000
 
 SYMBOLS = "[#*$%&|<>]"
@@ -134,6 +134,12 @@ def cascade_order(sample: DataFrame, candidates: list[Rule]) -> list[Rule]:
         sample.unpersist()
 
 
+def sampled(docs: DataFrame) -> DataFrame:
+    """About ``SAMPLE_ROWS`` texts of the whole table, picked row by row (no shuffle)."""
+    rows = docs.count()
+    return docs.select("text").sample(fraction=min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=11)
+
+
 def verdict(ordered: list[Rule]) -> Column:
     """Name of the first rule that rejects, null if none does; later rules are not evaluated."""
     out = F.lit(None).cast("string")
@@ -145,7 +151,7 @@ def verdict(ordered: list[Rule]) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, all base measures, and the cascade's verdict as ``rejected_by``."""
     words = with_words(docs.select("doc_id", "text"))
-    order = cascade_order(words.limit(SAMPLE_ROWS), rules())
+    order = cascade_order(with_words(sampled(docs)), rules())
     names = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     known = {r.name: r for r in rules({k: F.col(k) for k in names})}
     full = words.select(
@@ -161,6 +167,9 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects, all columns as they came."""
-    order = cascade_order(with_words(docs.select("text")).limit(SAMPLE_ROWS), rules())
+    order = cascade_order(with_words(sampled(docs)), rules())
     inner = with_words(docs.select(F.struct("*").alias("_row"), "text"))
-    return inner.filter(verdict(order).isNull()).select("_row.*")
+    # as a generated column: a plain filter would be pushed below the words and split the text
+    # again for every use of them
+    judged = inner.select("_row", F.explode(F.array(verdict(order))).alias("_verdict"))
+    return judged.filter(F.col("_verdict").isNull()).select("_row.*")
