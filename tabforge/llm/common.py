@@ -24,7 +24,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete staged tables. Only for tables whose every reader has itself been staged since, so
+    that no later task, first run or repeated, reads them."""
+    for df in staged:
+        jvm, path = df.sparkSession._jvm, df._staged_path
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def broadcast_if_small(staged: DataFrame, max_rows: int) -> DataFrame:

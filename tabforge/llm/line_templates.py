@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS, broadcast_if_small, stage
+from .common import WS, WS_CHARS, broadcast_if_small, stage, unstage
 
 DEPTH = 3
 MIN_TOKENS = 3
@@ -91,7 +91,9 @@ def templates(docs: DataFrame) -> DataFrame:
     )
     # at most `docs` documents a line: templates whose lines sum to fewer cannot recur
     may = of.groupBy("t1", "t2").agg(F.sum("docs").alias("total")).filter(F.col("total") >= MIN_DOCS).select("t1", "t2")
-    return stage(of.join(may, ["t1", "t2"]).select("leaf", "h1", "h2", "t1", "t2"), "line-templates")
+    out = stage(of.join(may, ["t1", "t2"]).select("leaf", "h1", "h2", "t1", "t2"), "line-templates")
+    unstage(stats, shown)
+    return out
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

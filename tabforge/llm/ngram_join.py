@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, shuffle_partitions, stage
+from .common import broadcast_if_small, shuffle_partitions, stage, unstage
 from .shingles import mix, shingle_set
 
 SHINGLE = 4
@@ -63,10 +63,10 @@ def most_different(a: int, b: int, percent: int) -> int:
 
 
 def parity_sketch(grams: np.ndarray, percent: int) -> bytes:
-    """Parity of the gram count in each of 2^k cells, about sixteen per allowed difference. Two
+    """Parity of the gram count in each of 2^k cells, about eight per allowed difference. Two
     sketches differ in at most as many bits as the sets differ in grams, and in nearly as many."""
     cells = 64
-    while cells < 16 * most_different(len(grams), len(grams), percent):
+    while cells < 8 * most_different(len(grams), len(grams), percent):
         cells *= 2
     at = np.bincount((mix(grams) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
     return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
@@ -241,7 +241,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select("x.*")
-        e = stage(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        last, e = e, stage(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        unstage(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -259,29 +260,27 @@ def _bucket(n, percent: int):
 def _first_candidates(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """For every node at most one query (q, d). A list's head is its node with the most shared
     lists (the text that others were made from shares all of its own); of the heads of a node's
-    lists the one whose sketch is closest is taken."""
+    lists the one that heads most of them is taken, if the sketches allow a link."""
     shared = lists.groupBy("uid").agg(F.count(F.lit(1)).alias("shared"))
     at = lists.join(shared, "uid").withColumn("b", _bucket(F.col("n"), percent))
     best = F.max(F.struct(F.col("shared"), (-F.col("uid")).alias("u")))
     heads = at.groupBy("gram", "b").agg(best.alias("h")).select("gram", "b", (-F.col("h.u")).alias("q"))
     near = heads.unionByName(heads.withColumn("b", F.col("b") + 1))
-    pairs = at.join(near, ["gram", "b"]).filter("q <> uid").select("q", F.col("uid").alias("d")).distinct()
+    pairs = at.join(near, ["gram", "b"]).filter("q <> uid").groupBy("q", F.col("uid").alias("d")).agg(F.count(F.lit(1)).alias("met"))
+    pairs = pairs.groupBy("d").agg(F.max_by("q", F.struct("met", "q")).alias("q"))
     own = nodes.select("uid", "n", "sketch")
     pairs = pairs.join(own.toDF("q", "nq", "sq"), "q").join(own.toDF("d", "nd", "sd"), "d")
 
     def bound(batches):
         for b in batches:
-            out = [[], [], []]
-            for q, nq, sq, d, nd, sd in zip(*(b.column(c).to_pylist() for c in ("q", "nq", "sq", "d", "nd", "sd")), strict=True):
-                x, y = _bits(sq), _bits(sd)
-                if may_link(nq, x, nd, y, percent):
-                    cells = min(x[1], y[1])
-                    for col, v in zip(out, (q, d, (_fold(*x, cells) ^ _fold(*y, cells)).bit_count()), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["q", "d", "apart"])
+            out = [
+                (q, d)
+                for q, nq, sq, d, nd, sd in zip(*(b.column(c).to_pylist() for c in ("q", "nq", "sq", "d", "nd", "sd")), strict=True)
+                if may_link(nq, _bits(sq), nd, _bits(sd), percent)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["q", "d"])
 
-    near = pairs.mapInArrow(bound, "q long, d long, apart long")
-    return near.groupBy("d").agg(F.min_by("q", F.struct("apart", "q")).alias("q")).select("q", "d")
+    return pairs.mapInArrow(bound, "q long, d long")
 
 
 def _other_candidates(lists: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -327,30 +326,33 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     d = F.coalesce("doc_id", F.lit(_NULL))
     classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size"))
     classes = stage(classes, "gram-classes")
-    nodes = stage(sets.withColumn("d", d).drop("doc_id", "k1", "k2").join(classes, "uid"), "gram-nodes")
-    entries = nodes.select("uid", "n", F.explode("prefix").alias("gram"))
+    nodes = stage(sets.select("uid", "n", "sketch", d.alias("d")).join(classes, "uid"), "gram-nodes")
+    entries = sets.select("uid", "n", "prefix").join(classes.select("uid"), "uid", "left_semi").select("uid", "n", F.explode("prefix").alias("gram"))
     # short lists of two or more nodes; most grams are in one and go
     shared = entries.selectExpr("uid", "n", "gram", "count(1) over (partition by gram) as m").filter("m > 1").drop("m")
     lists = stage(shared, "gram-lists")
-    links = stage(search(docs, nodes, stage(_first_candidates(lists, nodes, percent), "first-pairs"), shingle, percent), "first-links")
-    comp = connected(links.toDF("a", "b"))
+    first = stage(_first_candidates(lists, nodes, percent), "first-pairs")
+    comp = connected(search(docs, nodes, first, shingle, percent).toDF("a", "b"))
     rest = stage(_other_candidates(lists, nodes, comp, percent), "other-pairs")
     if rest.limit(1).count():
         more = search(docs, nodes, rest, shingle, percent).toDF("a", "b")
         comp = connected(comp.toDF("a", "b").unionByName(more))
     member = nodes.select("uid", "first_id").join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = stage(member.join(lowest, "root").select("uid", "component_id").join(classes.select("uid", "k1", "k2", "class_size"), "uid"), "components")
+    of = member.join(lowest, "root").select("uid", "component_id").join(classes.select("uid", "k1", "k2", "class_size"), "uid")
     out = sets.filter("n > 0").select("doc_id", "n", "k1", "k2").join(of, ["k1", "k2"])
     alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size").unionByName(alone)
+    out = stage(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size").unionByName(alone), "components")
+    unstage(sets, classes, nodes, lists, first, rest)
+    return out
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without near duplicates: of each component the document of the smallest id stays
     (one row of it, if it is repeated); documents without words or without an id stay."""
-    comp = stage(jaccard_components(docs, shingle, percent), "components")
+    comp = jaccard_components(docs, shingle, percent)
     stays = comp.filter(F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    stays = broadcast_if_small(stage(stays, "stays"), BROADCAST_ROWS)
     kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_keep"]), "left_semi")
     repeated = comp.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if not repeated:
