@@ -35,10 +35,11 @@ def hash_bucket(id_col, salt: str = "", digits: int = 8) -> Column:
 
 
 def digest128(c) -> Column:
-    """128-bit digest of a value (two seeded 64-bit hashes) for exact-in-practice
-    distinct counts without shuffling long texts; null stays null."""
+    """128-bit digest of a value (two 64-bit hashes) for exact-in-practice distinct counts
+    without shuffling long texts; null stays null. The salt comes first: the hash folds over its
+    arguments, so a salt behind the value would collide wherever the plain hash does."""
     x = _c(c)
-    return F.when(x.isNotNull(), F.struct(F.xxhash64(x), F.xxhash64(x, F.lit("\u0001salt"))))
+    return F.when(x.isNotNull(), F.struct(F.xxhash64(x), F.xxhash64(F.lit("salt"), x)))
 
 
 def to_number(c) -> Column:

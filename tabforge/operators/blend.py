@@ -72,6 +72,11 @@ def align_predictions(long: DataFrame) -> DataFrame:
     return ref.join(wide, "id", "left")
 
 
+def _one_per_table(long: DataFrame) -> DataFrame:
+    """One row per (id, table): an id listed twice in a table counts once (smallest value)."""
+    return long.groupBy("id", "pos").agg(F.min("value").alias("value"), F.min("weight").alias("weight"))
+
+
 def weighted_vote(long: DataFrame, as_bool: bool | None = None) -> DataFrame:
     """B2 (+B5): sum(w * vote) / sum(w) >= 0.5 over all tables; an id missing from
     any table compares false; output formatted like the first table."""
@@ -79,8 +84,8 @@ def weighted_vote(long: DataFrame, as_bool: bool | None = None) -> DataFrame:
     total_w = long.select("pos", "weight").distinct().agg(F.sum("weight")).first()[0]
     if as_bool is None:
         as_bool = output_as_bool(long)
-    per = long.groupBy("id").agg(
-        F.sum(F.col("weight") * normalise_vote("value")).alias("ws"), F.count_distinct("pos").alias("k")
+    per = _one_per_table(long).groupBy("id").agg(
+        F.sum(F.col("weight") * normalise_vote("value")).alias("ws"), F.count(F.lit(1)).alias("k")
     )
     maj = F.when(F.col("k") < n_tables, F.lit(False)).otherwise(F.col("ws") / F.lit(total_w) >= 0.5)
     fmt = F.when(maj, "True").otherwise("False") if as_bool else maj.cast("int").cast("string")
@@ -93,10 +98,8 @@ def weighted_average(long: DataFrame) -> DataFrame:
     n_tables = long.select("pos").distinct().count()
     total_w = long.select("pos", "weight").distinct().agg(F.sum("weight")).first()[0]
     x = F.col("value").try_cast("double")
-    per = long.groupBy("id").agg(
-        F.sum(F.col("weight") * x).alias("ws"), F.count(x).alias("k"), F.count_distinct("pos").alias("kt")
-    )
-    val = F.when((F.col("k") < n_tables) | (F.col("kt") < n_tables), F.lit(None)).otherwise(F.col("ws") / F.lit(total_w))
+    per = _one_per_table(long).groupBy("id").agg(F.sum(F.col("weight") * x).alias("ws"), F.count(x).alias("k"))
+    val = F.when(F.col("k") < n_tables, F.lit(None)).otherwise(F.col("ws") / F.lit(total_w))
     ref = long.where(F.col("pos") == 0).select("id").distinct()
     return ref.join(per, "id", "left").select("id", val.cast("double").alias("prediction"))
 

@@ -41,18 +41,25 @@ def validate_predictions(pred: DataFrame, expected: DataFrame, id_col: str, targ
     )
 
 
-def medal(score) -> F.Column:
+def medal(score, cutoffs=CUTOFFS) -> F.Column:
     c = F.col(score) if isinstance(score, str) else score
     expr = F.lit("none")
-    for name, cut in reversed(CUTOFFS):
+    for name, cut in reversed(cutoffs):
         expr = F.when(c >= F.lit(cut), F.lit(name)).otherwise(expr)
     return expr
 
 
-def grade(pred: DataFrame, answers: DataFrame, id_col: str, pred_col: str, answer_col: str) -> DataFrame:
-    """V2: accuracy against held-back labels (equi join on id), medal band."""
-    j = pred.select(F.col(id_col).alias("_id"), F.col(pred_col).alias("_p")).join(
-        answers.select(F.col(id_col).alias("_id"), F.col(answer_col).alias("_y")), "_id"
+def grade(pred: DataFrame, answers: DataFrame, id_col: str, pred_col: str, answer_col: str, cutoffs=CUTOFFS) -> DataFrame:
+    """V2: accuracy against held-back labels, medal band. Every answer counts: one without a
+    prediction, or whose id is predicted more than once with different values, is wrong. Values
+    are equal as text or as numbers (``1`` and ``1.0``)."""
+    p = pred.groupBy(F.col(id_col).alias("_id")).agg(
+        F.min(F.col(pred_col).cast("string")).alias("_p"), F.max(F.col(pred_col).cast("string")).alias("_p2")
     )
-    s = j.agg(F.avg((F.col("_p").cast("string") == F.col("_y").cast("string")).cast("double")).alias("score"), F.count(F.lit(1)).alias("n_graded"))
-    return s.select("score", "n_graded", medal("score").alias("medal"), (medal("score") != "none").cast("int").alias("any_medal"))
+    y = answers.select(F.col(id_col).alias("_id"), F.col(answer_col).cast("string").alias("_y"))
+    j = y.join(p, "_id", "left")
+    same = (F.col("_p") == F.col("_y")) | (F.col("_p").try_cast("double") == F.col("_y").try_cast("double"))
+    right = F.coalesce((F.col("_p") == F.col("_p2")) & same, F.lit(False))
+    s = j.agg(F.avg(right.cast("double")).alias("score"), F.count(F.lit(1)).alias("n_graded"))
+    band = medal("score", cutoffs)
+    return s.select("score", "n_graded", band.alias("medal"), (band != "none").cast("int").alias("any_medal"))

@@ -184,8 +184,16 @@ def corr_top(corrs: DataFrame, n: int = 20) -> DataFrame:
     return corrs.orderBy(F.col("abs_r").desc(), F.col("feature")).limit(n)
 
 
+def numeric_or_coded(df: DataFrame, y: str, out: str) -> DataFrame:
+    """The target as a number; label codes only where no value parses."""
+    number = F.col(y).cast("string").try_cast("double")
+    if df.agg(F.count(number)).first()[0]:
+        return df.withColumn(out, number)
+    return encode_target(df, y, out)
+
+
 def target_correlations(df: DataFrame, y: str, num_cols: list[str], cat_cols: list[str]) -> DataFrame:
-    coded = encode_target(df, y, "y_code")
+    coded = numeric_or_coded(df, y, "y_code")
     return corr_numeric(coded, num_cols, "y_code").unionByName(corr_onehot(coded, cat_cols, "y_code"))
 
 
@@ -264,9 +272,7 @@ def inconsistency_rate(df: DataFrame, measure, flag) -> DataFrame:
 def data_summary(df: DataFrame, y: str, cols: list[str], num_cols: list[str], medians: dict) -> DataFrame:
     """Per column dtype, missing share, signed r (numeric), min/median/max or
     distinct count and the 5 smallest distinct values."""
-    from tabforge.operators.infer import encode_target as _enc
-
-    coded = _enc(df, y, "y_code")
+    coded = numeric_or_coded(df, y, "y_code")
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in cols:

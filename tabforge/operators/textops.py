@@ -77,9 +77,11 @@ def validate_records(df: DataFrame, json_col: str, kind: str = "event") -> DataF
 
 
 def parse_params(df: DataFrame, text_col: str, key: str = "TUNED_PARAMS", until: str = "\nOUTPUT_PATH:") -> DataFrame:
-    """JSON parameters after ``KEY:``; malformed or absent -> default model, no params."""
+    """JSON parameters after ``KEY:``; malformed or absent -> default model,
+    empty params. Values stay text (numbers and names mix); cast them where they are read."""
     payload = T.payload_after(text_col, key, until)
     ok = payload.isNotNull() & F.get_json_object(payload, "$").isNotNull()
     model = F.when(ok, F.coalesce(F.get_json_object(payload, "$.model"), F.lit(DEFAULT_MODEL))).otherwise(F.lit(DEFAULT_MODEL))
-    params = F.when(ok, F.from_json(F.get_json_object(payload, "$.params"), "map<string,double>"))
+    given = F.when(ok, F.from_json(F.get_json_object(payload, "$.params"), "map<string,string>"))
+    params = F.coalesce(given, F.create_map().cast("map<string,string>"))
     return df.withColumn("model", model).withColumn("params", params)

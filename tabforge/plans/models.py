@@ -46,7 +46,12 @@ PARAM_MAP = {
     "colsample_bytree": "featureSubsetStrategy",
     "min_child_samples": "minInstancesPerNode",
     "min_samples_leaf": "minInstancesPerNode",
+    "min_child_weight": "minInstancesPerNode",
+    "max_features": "featureSubsetStrategy",
 }
+KNOWN = {*PARAM_MAP.values(), "numTrees", "regParam"}
+#: MLlib trees go no deeper.
+DEPTH_LIMIT = 30
 
 # fixed default parameter sets of the four base learners (rounds, depth, rate, rows, cols)
 BASE_PARAMS = {
@@ -58,20 +63,25 @@ BASE_PARAMS = {
 
 
 def to_mllib(params: dict, family: str) -> dict:
-    """Reference-style parameter names to MLlib ones for a model family."""
+    """Common booster parameter names to MLlib ones for a model family. Unknown names and depths
+    beyond MLlib's limit raise; ``max_depth=None`` is that limit."""
     out = {}
     for k, v in params.items():
         name = PARAM_MAP.get(k, k)
+        if name not in KNOWN:
+            raise ValueError(f"unknown model parameter: {k}")
+        if name == "maxDepth":
+            v = DEPTH_LIMIT if v is None else int(v)
+            if v > DEPTH_LIMIT:
+                raise ValueError(f"max_depth {v} is beyond the limit of {DEPTH_LIMIT}")
         if name == "maxIter" and family == "forest":
             name = "numTrees"
         if family == "forest" and name == "stepSize":
             continue
         if name == "featureSubsetStrategy":
-            v = str(min(1.0, float(v)))
+            v = v if isinstance(v, str) else str(min(1.0, float(v)))
         if name in ("maxIter", "numTrees", "maxDepth", "minInstancesPerNode"):
             v = int(v)
-        if name == "maxDepth":
-            v = min(v, 30)
         out[name] = v
     return out
 
@@ -210,7 +220,7 @@ def model_tournament(candidates: list[tuple[str, Callable]], data: ModelData, k:
             std = math.sqrt(sum((s - mean) ** 2 for s in sc) / len(sc))
             rows.append((name, rank, round(mean, 5), round(std, 5), ",".join(f"{s:.5f}" for s in sc), None))
         except Exception as e:  # noqa: BLE001 - failure isolation per candidate
-            rows.append((name, rank, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+            rows.append((name, rank, None, None, None, f"{type(e).__name__}: {e}"))
     spark = data.train.sparkSession
     res = spark.createDataFrame(rows, "model string, candidate_rank int, cv_mean double, cv_std double, cv_scores string, error string")
     ok = [r for r in rows if r[2] is not None]
@@ -218,16 +228,16 @@ def model_tournament(candidates: list[tuple[str, Callable]], data: ModelData, k:
     return res.withColumn("is_best", (F.col("model") == F.lit(best)).cast("int") if best else F.lit(0))
 
 
-def quick_cv(data: ModelData, k: int = 3, rounds: int = 100, depth: int = 5) -> float | None:
-    """M5: k-fold score of a small booster (forest for multi-class) used to compare
-    feature sets; a failed run gives None (ranked last), never 0."""
+def quick_cv(data: ModelData, k: int = 3, rounds: int = 100, depth: int = 5) -> tuple[float | None, str | None]:
+    """M5: (k-fold score of a small booster, error) to compare feature sets (forest for
+    multi-class); a failed run gives no score (ranked last), never 0, and its whole error text."""
     fam = "forest" if data.task == MULTICLASS else "gbt"
     params = {"n_estimators": rounds, "max_depth": depth, "learning_rate": 0.1}
     try:
         sc = cross_validate(lambda: make_estimator(fam, data.task, params), data, k)
-        return sum(sc) / len(sc)
-    except Exception:  # noqa: BLE001
-        return None
+        return sum(sc) / len(sc), None
+    except Exception as e:  # noqa: BLE001 - reported, not hidden
+        return None, f"{type(e).__name__}: {e}"
 
 
 # ----------------------------------------------------------------------------- M7/M8
@@ -336,8 +346,12 @@ def meta_ridge(train_s: DataFrame, test_s: DataFrame | None, cols: list[str], k:
     only a (m+1)^2 system per fold is solved on the driver."""
     import numpy as np
 
-    g = {r["fold"]: r.asDict() for r in ridge_gram(train_s, cols).collect()}
     m = len(cols)
+    # sums around the column means: raw second moments of large values cancel
+    mid = train_s.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]).first()
+    centre = np.array([mid[f"m_{i}"] or 0.0 for i in range(m)], float)
+    shifted = train_s.withColumns({c: F.col(c) - F.lit(float(centre[i])) for i, c in enumerate(cols)})
+    g = {r["fold"]: r.asDict() for r in ridge_gram(shifted, cols).collect()}
 
     def vecs(r):
         s = np.array([r[f"s_{i}"] for i in range(m)], float)
@@ -362,7 +376,7 @@ def meta_ridge(train_s: DataFrame, test_s: DataFrame | None, cols: list[str], k:
         zz = cov / np.outer(sd, sd)
         zy = (sxy - n * mu * ybar) / sd
         w = np.linalg.solve(zz + alpha * np.eye(m), zy)
-        coefs.append((f, float(ybar), [float(x) for x in mu], [float(x) for x in sd], [float(x) for x in w]))
+        coefs.append((f, float(ybar), [float(x) for x in mu + centre], [float(x) for x in sd], [float(x) for x in w]))
 
     def pred_expr(mu, sd, w, b):
         return reduce(lambda a, x: a + x, [F.lit(w[i]) * (F.col(c) - F.lit(mu[i])) / F.lit(sd[i]) for i, c in enumerate(cols)], F.lit(b))
@@ -407,7 +421,7 @@ def stack(
             tests.append(t)
             names.append(name)
         except Exception as e:  # noqa: BLE001 - a failing model is skipped
-            failed[name] = f"{type(e).__name__}: {e}"[:300]
+            failed[name] = f"{type(e).__name__}: {e}"
     if not names:
         raise RuntimeError(f"all base models failed: {failed}")
     long_tr = reduce(lambda a, b: a.unionByName(b), oofs)

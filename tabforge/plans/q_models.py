@@ -94,9 +94,9 @@ def q_cross_validate(spark, d):
 @register("quick_cv", "M5")
 def q_quick_cv(spark, d):
     data = doc_data(spark, d)
-    s = M.quick_cv(data, k=3, rounds=20)
+    s, error = M.quick_cv(data, k=3, rounds=20)
     data.release()
-    return spark.createDataFrame([(data.task, s)], "task string, score double")
+    return spark.createDataFrame([(data.task, s, error)], "task string, score double, error string")
 
 
 @register("model_tournament", "M6")
@@ -252,7 +252,7 @@ def q_threshold_solve(spark, d):
 def q_keep_if_better(spark, d):
     base = doc_data(spark, d, feats=("lang", "n_chars"), target_encode=False)
     rich = doc_data(spark, d)
-    rows = [("baseline", M.quick_cv(base, 3, 20), True), ("text_counts", M.quick_cv(rich, 3, 20), False)]
+    rows = [("baseline", M.quick_cv(base, 3, 20)[0], True), ("text_counts", M.quick_cv(rich, 3, 20)[0], False)]
     base.release()
     rich.release()
     return keep_if_better(spark.createDataFrame(rows, "name string, score double, is_baseline boolean"))

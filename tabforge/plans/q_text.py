@@ -272,4 +272,4 @@ def q_parse_params(spark, d):
         .otherwise(F.col("text"))
     )
     r = TO.parse_params(b.withColumn("m", m), "m")
-    return r.select("conv_id", "turn", "model", F.col("params").getItem("max_depth").alias("max_depth"))
+    return r.select("conv_id", "turn", "model", F.col("params").getItem("max_depth").try_cast("double").alias("max_depth"))

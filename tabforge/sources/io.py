@@ -21,17 +21,24 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=No
 
 
 def find_tables(spark: SparkSession, root: str, name: str, fmt: str | None = None) -> DataFrame | None:
-    """A named file anywhere below ``root`` (recursive lookup); None when absent."""
-    fmt = fmt or ("csv" if name.endswith(".csv") else "parquet")
-    r = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    try:
-        if fmt == "csv":
-            return r.option("header", True).option("inferSchema", True).csv(root)
-        return r.parquet(root)
-    except Exception as e:  # noqa: BLE001 - absence is an answer here
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e) or "does not exist" in str(e):
-            return None
-        raise
+    """The table of that name anywhere below ``root``: a file, or a folder of Spark part
+    files. Of several the first by (depth, path) is taken; None when there is none. Folders are
+    listed through the Hadoop file system, so any store that Spark reads will do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    level = [path] if fs.exists(path) else []
+    while level:
+        found, below = [], []
+        for folder in level:
+            for st in fs.listStatus(folder):
+                if st.getPath().getName() == name:
+                    found.append(st.getPath().toString())
+                elif st.isDirectory() and not st.getPath().getName().startswith(("_", ".")):
+                    below.append(st.getPath())
+        if found:
+            return read_table(spark, min(found), fmt or ("csv" if name.endswith(".csv") else None))
+        level = below
+    return None
 
 
 def preview(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:

@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tabforge.session import ensure_checkpoint_dir
 
 
-def read_stream(spark: SparkSession, directory: str, like: DataFrame, glob: str | None = None, max_files: int = 1) -> DataFrame:
+def read_stream(spark: SparkSession, directory: str, like: DataFrame, glob: str | None = None, max_files: int | None = None) -> DataFrame:
     """Parquet files of ``directory`` (optionally matching ``glob``) as a stream with
-    the schema of ``like``."""
-    r = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files)
+    the schema of ``like``. All files that are there make one micro-batch unless ``max_files``
+    bounds it."""
+    r = spark.readStream.schema(like.schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.parquet(directory)

@@ -80,6 +80,6 @@ def test_tournament_keeps_failures(spark):
 
 
 def test_param_map():
-    p = M.to_mllib({"n_estimators": 300, "max_depth": 50, "learning_rate": 0.1, "colsample": 0.7, "min_child_samples": 20}, "gbt")
+    p = M.to_mllib({"n_estimators": 300, "max_depth": 30, "learning_rate": 0.1, "colsample": 0.7, "min_child_samples": 20}, "gbt")
     assert p == {"maxIter": 300, "maxDepth": 30, "stepSize": 0.1, "featureSubsetStrategy": "0.7", "minInstancesPerNode": 20}
     assert M.to_mllib({"n_estimators": 100, "learning_rate": 0.1}, "forest") == {"numTrees": 100}

@@ -16,6 +16,7 @@ from tabforge.operators import decide as D
 from tabforge.operators import encode as E
 from tabforge.operators import features as FE
 from tabforge.operators import folds as FO
+from tabforge.operators import grade as G
 from tabforge.operators import infer as I
 from tabforge.operators import profile as P
 from tabforge.operators import quantile as Q
@@ -329,7 +330,7 @@ def test_validate_records(spark):
 def test_parse_params_default_on_failure(spark):
     df = spark.createDataFrame([('TUNED_PARAMS:{"model": "RF", "params": {"max_depth": 3}}\nOUTPUT_PATH:/x',), ("TUNED_PARAMS:{bad",), ("nothing",)], "m string")
     out = TO.parse_params(df, "m").collect()
-    assert (out[0]["model"], out[0]["params"]) == ("RF", {"max_depth": 3.0})
+    assert (out[0]["model"], out[0]["params"]) == ("RF", {"max_depth": "3"})
     assert out[1]["model"] == "XGBoost" and out[2]["model"] == "XGBoost"
 
 
@@ -414,3 +415,80 @@ def test_approximate_median_close_to_exact(spark):
     exact = E.fit_medians(df, ["x"])["x"]
     approx = E.fit_medians(df, ["x"], approximate=True)["x"]
     assert exact == 15000.0 and abs(approx - exact) <= 3.0 * 10001 / 10_000 + 3
+
+
+# ----------------------------------------------------------------------------- answers off the fixtures
+
+
+def test_grade_counts_every_answer(spark):
+    ans = spark.createDataFrame([(i, "1") for i in range(10)], "id long, y string")
+    two = spark.createDataFrame([(0, 1.0), (1, 1.0)], "id long, p double")
+    r = G.grade(two, ans, "id", "p", "y").first()
+    assert (r["score"], r["n_graded"], r["medal"]) == (0.2, 10, "none")
+    assert G.grade(two, ans, "id", "p", "y", cutoffs=(("gold", 0.1),)).first()["medal"] == "gold"
+    twice = spark.createDataFrame([(i, "1") for i in range(10)] + [(0, "0")], "id long, p string")
+    assert G.grade(twice, ans, "id", "p", "y").first()["score"] == 0.9
+
+
+def test_blend_counts_a_repeated_id_once(spark):
+    rows = [(1, "a", 0, 1.0, "1"), (1, "a", 0, 1.0, "1"), (1, "b", 1, 1.5, "0")]
+    long = spark.createDataFrame(rows, "id long, model string, pos int, weight double, value string")
+    assert B.weighted_vote(long, as_bool=False).first()["prediction"] == "0"
+    rows = [(1, "a", 0, 1.0, "0.2"), (1, "a", 0, 1.0, "0.2"), (1, "b", 1, 1.0, "0.6")]
+    long = spark.createDataFrame(rows, "id long, model string, pos int, weight double, value string")
+    assert abs(B.weighted_average(long).first()["prediction"] - 0.4) < 1e-12
+
+
+def test_parse_params_keeps_text_values(spark):
+    df = spark.createDataFrame([('TUNED_PARAMS:{"model":"X","params":{"max_features":"sqrt","max_depth":3}}',), ("none",)], "m string")
+    a, b = TO.parse_params(df, "m").collect()
+    assert a["params"] == {"max_features": "sqrt", "max_depth": "3"} and b["params"] == {}
+
+
+def test_data_summary_uses_a_numeric_target(spark):
+    df = spark.createDataFrame([(float(i), i) for i in range(1, 25)], "x double, y long")
+    r = P.data_summary(df, "y", ["x"], ["x"], {"x": 12.5}).first()
+    assert abs(r["corr"] - 1.0) < 1e-12
+    top = P.target_correlations(df, "y", ["x"], []).first()
+    assert abs(top["abs_r"] - 1.0) < 1e-12
+
+
+def test_find_tables_takes_one_table(spark, tmp_path):
+    from tabforge.sources import io
+
+    for sub, v in (("b", 2), ("a", 1)):
+        (tmp_path / sub).mkdir()
+        (tmp_path / sub / "train.csv").write_text(f"x\n{v}\n")
+    assert [r["x"] for r in io.find_tables(spark, str(tmp_path), "train.csv").collect()] == [1]
+    spark.range(3).write.parquet(str(tmp_path / "deep" / "t.parquet"))
+    assert io.find_tables(spark, str(tmp_path), "t.parquet").count() == 3
+    assert io.find_tables(spark, str(tmp_path), "no.csv") is None and io.find_tables(spark, str(tmp_path / "no"), "t.parquet") is None
+
+
+def test_digest_halves_are_independent(spark):
+    row = spark.range(1).select(S.digest128(F.lit("v")).alias("d"), F.xxhash64(F.lit("salt"), F.lit("v")).alias("h")).first()
+    assert row["d"][1] == row["h"] and row["d"][0] != row["h"]
+
+
+def test_ridge_of_large_means(spark):
+    import numpy as np
+
+    from tabforge.plans import models as M
+
+    rng = np.random.default_rng(0)
+    x = 1e9 + rng.standard_normal(400)
+    y = 3 * (x - 1e9) + 0.01 * rng.standard_normal(400)
+    rows = [(i, i % 4, float(y[i]), float(x[i])) for i in range(400)]
+    oof, _ = M.meta_ridge(spark.createDataFrame(rows, "id long, fold int, label double, s double"), None, ["s"], 4, alpha=1.0)
+    got = {r["id"]: r["pred"] for r in oof.collect()}
+    assert np.mean([(got[i] - y[i]) ** 2 for i in range(400)]) < 1e-2
+
+
+def test_unknown_and_impossible_parameters_raise():
+    from tabforge.plans import models as M
+
+    assert M.to_mllib({"max_features": 0.3, "min_child_weight": 2, "max_depth": None}, "forest") == {
+        "featureSubsetStrategy": "0.3", "minInstancesPerNode": 2, "maxDepth": 30}
+    for bad in ({"no_such": 1}, {"max_depth": 31}):
+        with pytest.raises(ValueError):
+            M.to_mllib(bad, "gbt")
