@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import running_total, shuffle_partitions, stage
-from .token_library import TextEncoder
+from .token_library import text_encoder
 
 LENGTH = 1024
 HASHED, DIMS, BITS = 256, 4, 15
@@ -73,7 +73,7 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     xs = [f"x{i}" for i in range(DIMS)]
 
     def rows(batches):
-        enc = TextEncoder(path)
+        enc = text_encoder(path)
         small = np.uint16 if enc.tok.get_vocab_size() <= 1 << 16 else np.uint32
         for b in batches:
             ids, n, places = [], [], []

@@ -3,7 +3,7 @@
 A word's parts lie between boundaries; beside them stands the rank of each adjacent pair. The
 array is scanned for its smallest rank, that boundary is deleted and the ranks on both sides are
 looked up again, until no pair has one. Words of more than ``LONG`` parts take a heap with the same
-order of merges. Each distinct word is merged once per task (bounded cache).
+order of merges. Each distinct word is merged once per worker (bounded cache).
 
 Defined results: null text is the empty text, which has no ids; repeated rows each get a row;
 special-token strings inside a text get their own id, as in the library; extra columns are ignored.
@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ _NONE = 1 << 60
 class RankBpe:
     """Encoder and decoder of a word-end BPE file (lower case, white space dropped)."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 300_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -127,11 +128,17 @@ class RankBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=1)
+def rank_bpe(path: str) -> RankBpe:
+    """The worker process's encoder: tasks that follow each other share its bounded caches."""
+    return RankBpe(path)
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32-bit), decoded, for every whole text."""
 
     def rows(batches):
-        bpe = RankBpe(path)
+        bpe = rank_bpe(path)
         for b in batches:
             ids, decoded = [], []
             for t in b.column(1):
@@ -149,7 +156,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; the decoded text is made from the ids."""
 
     def rows(batches):
-        bpe = RankBpe(path)
+        bpe = rank_bpe(path)
         for b in batches:
             n, h, d = [], [], []
             for t in b.column(1):

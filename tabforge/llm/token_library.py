@@ -1,4 +1,4 @@
-"""Token ids of the tokenizers library, with each distinct word encoded once per task.
+"""Token ids of the tokenizers library, with each distinct word encoded once per worker.
 
 ``TextEncoder.encode`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``. For plain
 texts (printable ASCII, Latin letters, blanks and line ends; no special-token strings) the text is
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -41,7 +42,7 @@ def byte_letters() -> dict[int, str]:
 class TextEncoder:
     """``dtype`` is the type of the ids in the bytes that ``encode`` returns."""
 
-    def __init__(self, path: str, dtype: str = "<u4", cache: int = 500_000):
+    def __init__(self, path: str, dtype: str = "<u4", cache: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -74,3 +75,9 @@ class TextEncoder:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         parts = [x for x in text.replace("\n", " ").split(" ") if x] if self.by_word else _CHUNK.findall(text)
         return b"".join(map(self.chunks.__getitem__, parts))
+
+
+@lru_cache(maxsize=2)
+def text_encoder(path: str) -> TextEncoder:
+    """The worker process's encoder: tasks that follow each other share its bounded caches."""
+    return TextEncoder(path)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tabforge.session import ensure_checkpoint_dir
 
 from .common import shuffle_partitions
-from .token_library import TextEncoder
+from .token_library import text_encoder
 
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 16 << 20, 256 << 10, 1 << 20
@@ -53,7 +53,7 @@ def write_tokens(
     cuts = _runs(docs, files or shuffle_partitions(spark))
 
     def rows(batches):
-        enc, at = TextEncoder(path), 0
+        enc, at = text_encoder(path), 0
         for b in batches:
             ids = [np.append(np.frombuffer(enc.encode(t.as_py() or ""), "<u4"), np.uint32(end_id)).astype(np.int32) for t in b.column(1)]
             n = np.array([len(x) for x in ids], np.int64)
