@@ -17,6 +17,8 @@ doc_id is packed like any other; an empty table gives no piece; extra columns ar
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,11 +33,18 @@ END_ID = 0
 _PROJECT = np.random.default_rng(7).standard_normal((HASHED, DIMS)).astype(np.float32)
 
 
-def project(ids: np.ndarray) -> np.ndarray:
-    """Place of a document's token ids in ``DIMS`` dimensions."""
-    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+@lru_cache(maxsize=2)
+def _hashed(vocab: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and sign of every token id."""
+    h = np.arange(vocab, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     sign = 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
-    v = np.bincount(((h >> np.uint64(48)) % np.uint64(HASHED)).astype(np.int64), weights=sign, minlength=HASHED)
+    return ((h >> np.uint64(48)) % np.uint64(HASHED)).astype(np.int64), sign
+
+
+def project(ids: np.ndarray, vocab: int) -> np.ndarray:
+    """Place of a document's token ids in ``DIMS`` dimensions."""
+    place, sign = _hashed(vocab)
+    v = np.bincount(place[ids], weights=sign[ids], minlength=HASHED)
     return (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32) @ _PROJECT
 
 
@@ -74,14 +83,15 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def rows(batches):
         enc = text_encoder(path)
-        small = np.uint16 if enc.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        vocab = enc.tok.get_vocab_size()
+        small = np.uint16 if vocab <= 1 << 16 else np.uint32
         for b in batches:
             ids, n, places = [], [], []
             for t in b.column(1):
                 got = np.append(np.frombuffer(enc.encode(t.as_py() or ""), "<u4"), np.uint32(end_id))
                 ids.append(got.astype(small).tobytes())
                 n.append(len(got))
-                places.append(project(got))
+                places.append(project(got, vocab))
             p = np.array(places, np.float64).reshape(-1, DIMS)
             cols = [b.column(0), pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(DIMS)], pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", *xs, "ids"])
