@@ -7,6 +7,6 @@ visible in the signature. Nothing row-level is collected on the driver; only
 bounded summaries (per-column statistics, label tables, fold scores) are.
 """
 
-from tabforge.session import build_session, bounded_broadcast, cut_lineage, ensure_checkpoint_dir
+from tabforge.session import build_session, cut_lineage, ensure_checkpoint_dir, fitted_table
 
-__all__ = ["build_session", "bounded_broadcast", "cut_lineage", "ensure_checkpoint_dir"]
+__all__ = ["build_session", "cut_lineage", "ensure_checkpoint_dir", "fitted_table"]

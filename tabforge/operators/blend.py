@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.scalar import norm_text
-from tabforge.session import bounded_broadcast
 
 BINARY_VALUES = ("true", "false", "1", "0")  # fixed: vocabulary of vote mode
 # fixed: source priority weights of the final blend

@@ -2,7 +2,7 @@
 (A1, A2) and the fitted-table lookup (J1).
 
 Fitted objects are small DataFrames or dataclasses of scalars; the apply side is a
-``select`` with literals or a bounded-broadcast join, so it runs unchanged on a
+``select`` with literals or a join with a fitted table, so it runs unchanged on a
 streaming DataFrame.
 """
 
@@ -11,13 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.scalar import NA_TOKEN
 from tabforge.operators.quantile import exact_medians
 from tabforge.roles import categorical_columns, numeric_columns
-from tabforge.session import bounded_broadcast
+from tabforge.session import fitted_table, ranked
 
 SMOOTHING = 30.0  # fixed value: smoothing weight of the target encoding
 NULL_KEY = "\u0000"  # join key standing for a null category
@@ -57,7 +57,7 @@ def lookup_join(df: DataFrame, col: str, table: DataFrame, key: str, value: str,
     t = table.select(_key(key).alias("_lk"), F.col(value).alias("_lv"))
     return (
         df.withColumn("_lk", _key(col))
-        .join(bounded_broadcast(t), "_lk", "left")
+        .join(fitted_table(t), "_lk", "left")
         .withColumn(out, F.coalesce(F.col("_lv"), F.lit(default)))
         .drop("_lk", "_lv")
     )
@@ -118,7 +118,7 @@ def apply_target_encoding_oof(df: DataFrame, te: TargetEncoding, fold_col: str =
         t = lfo.where(F.col("column") == c).select(
             F.col("value").alias("_tv"), F.col("fold").alias("_tf"), F.col("enc").alias("_te")
         )
-        t = bounded_broadcast(t)
+        t = fitted_table(t)
         out = (
             out.join(t, (_key(c) == F.col("_tv")) & (F.col(fold_col) == F.col("_tf")), "left")
             .withColumn(c + suffix, F.coalesce(F.col("_te"), F.lit(te.global_mean)))
@@ -149,7 +149,7 @@ def apply_target_encoding_test(df: DataFrame, te: TargetEncoding, suffix: str =
     tbl = target_encoding_test_table(te)
     out = df
     for c in te.columns:
-        t = bounded_broadcast(tbl.where(F.col("column") == c).select(F.col("value").alias("_tv"), F.col("enc").alias("_te")))
+        t = fitted_table(tbl.where(F.col("column") == c).select(F.col("value").alias("_tv"), F.col("enc").alias("_te")))
         out = (
             out.join(t, _key(c) == F.col("_tv"), "left")
             .withColumn(c + suffix, F.coalesce(F.col("_te"), F.lit(te.global_mean)))
@@ -191,41 +191,19 @@ def impute_constant(df: DataFrame, cols: list[str], fill: str = NA_TOKEN) -> Dat
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(fill)) for c in cols})
 
 
-ORDINAL_WINDOW_ROWS = 1_000_000  # distinct values ranked in one window task at most
-
-
 def fit_ordinal(train: DataFrame, cols: list[str], partitions: int | None = None) -> DataFrame:
-    """E3 fit: (column, value, code) with codes 0.. in sorted text order.
-
-    A distinct table proven to hold at most ``ORDINAL_WINDOW_ROWS`` values is ranked
-    by one window per column. A larger one is range-partitioned on (column, value)
-    and checkpointed, so every partition holds a contiguous, stable slice of the
-    order. Per-(partition, column) counts give each partition's offset (a small
-    table), and the rank inside a partition is a local ``row_number``."""
+    """E3 fit: (column, value, code) with codes 0.. in sorted text order, ranked over
+    range partitions of the distinct values (see ``session.ranked``)."""
     kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
     distinct = train.select(kv.alias("kv")).select("kv.column", "kv.value").where(F.col("value").isNotNull()).distinct()
-    from tabforge.session import cut_lineage
-
-    distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)  # counted once, then ranked from the cache
-    if distinct.count() <= ORDINAL_WINDOW_ROWS:
-        w = Window.partitionBy("column").orderBy("value")
-        return distinct.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
-    n = partitions or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(distinct.repartitionByRange(n, "column", "value").withColumn("_p", F.spark_partition_id()))
-    sizes = ranged.groupBy("_p", "column").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", "column", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p", "column").orderBy("value")))
-    return local.join(bounded_broadcast(offsets), ["_p", "column"]).select(
-        "column", "value", (F.col("_off") + F.col("_r") - 1).cast("int").alias("code")
-    )
+    return ranked(distinct, ["column"], "value", "code", partitions)
 
 
 def apply_ordinal(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """E3 apply: unseen (or null) -> -1."""
     out = df
     for c in cols:
-        t = bounded_broadcast(codes.where(F.col("column") == c).select(F.col("value").alias("_ov"), F.col("code").alias("_oc")))
+        t = fitted_table(codes.where(F.col("column") == c).select(F.col("value").alias("_ov"), F.col("code").alias("_oc")))
         out = (
             out.join(t, F.col(c).cast("string") == F.col("_ov"), "left")
             .withColumn(c + suffix, F.coalesce(F.col("_oc"), F.lit(-1)))

@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType
 from tabforge.functions import scalar as S
 from tabforge.operators.encode import fit_medians
 from tabforge.operators.infer import DATETIME_SHARE, ID_LIKE_MIN, ID_LIKE_SHARE
-from tabforge.session import bounded_broadcast
+from tabforge.session import fitted_table
 
 MISS_LOW, MISS_HIGH = 0.01, 0.99  # fixed: missing-indicator band
 
@@ -51,7 +51,7 @@ def apply_group_sizes(
     """J2/J3 apply: size of the row's group from a fitted table; unseen -> default."""
     out = (
         df.withColumn("_gk", _c(key).cast("string"))
-        .join(bounded_broadcast(sizes), "_gk", "left")
+        .join(fitted_table(sizes), "_gk", "left")
         .withColumn(size_col, F.coalesce(F.col("_gs"), F.lit(default)).cast("long"))
         .drop("_gk", "_gs")
     )
@@ -70,7 +70,7 @@ def group_transform(df: DataFrame, key, value, prefix: str = "grp") -> DataFrame
     g = df.groupBy(_c(key).alias("_wk")).agg(
         F.count(F.lit(1)).alias(f"{prefix}_count"), F.avg(_c(value).cast("double")).alias(f"{prefix}_mean")
     )
-    return df.withColumn("_wk", _c(key)).join(bounded_broadcast(g), "_wk", "left").drop("_wk")
+    return df.withColumn("_wk", _c(key)).join(fitted_table(g), "_wk", "left").drop("_wk")
 
 
 # ----------------------------------------------------------------------------- F17-F19

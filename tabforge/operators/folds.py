@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.scalar import hash_bucket
-from tabforge.session import bounded_broadcast
+from tabforge.session import fitted_table
 
 
 def assign_folds(df: DataFrame, k: int, id_col: str, fold_col: str = "fold") -> DataFrame:
@@ -39,7 +39,7 @@ def assign_stratified_folds(
     sizes = keyed.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy("_y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_y", "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    joined = keyed.join(bounded_broadcast(offsets), ["_y", "_b"], "inner")
+    joined = keyed.join(fitted_table(offsets), ["_y", "_b"], "inner")
     w_rn = Window.partitionBy("_y", "_b").orderBy("_h", id_col)
     return joined.withColumn(fold_col, F.pmod(F.col("_off") + F.row_number().over(w_rn) - 1, F.lit(k)).cast("int")).drop(
         "_y", "_h", "_b", "_off"
@@ -58,4 +58,4 @@ def fold_scatter(
     df: DataFrame, stats_by_fold: DataFrame, keys: list[str], fold_col: str = "fold"
 ) -> DataFrame:
     """Attach per-fold results (fitted without that fold) to the held-out rows."""
-    return df.join(bounded_broadcast(stats_by_fold), keys + [fold_col], "left")
+    return df.join(fitted_table(stats_by_fold), keys + [fold_col], "left")

@@ -6,11 +6,11 @@ to the driver are per-column summaries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.scalar import BOOL_TF, BOOLISH_MAP, _lit_regex, digest128, norm_text
-from tabforge.session import bounded_broadcast
+from tabforge.session import fitted_table, ranked
 
 BINARY, MULTICLASS, REGRESSION = "BINARY", "MULTICLASS", "REGRESSION"
 # fixed values of the task rule
@@ -46,21 +46,20 @@ def label_table(df: DataFrame, y: str) -> DataFrame:
     """(label, code, original) with codes 0.. in sorted label order over
     the distinct table only; ``original`` is the smallest raw spelling."""
     d = df.where(F.col(y).isNotNull()).groupBy(norm_text(y).alias("label")).agg(F.min(F.col(y).cast("string")).alias("original"))
-    w = Window.orderBy("label")  # distinct labels only: at most MAX_CLASSES rows for classification
-    return d.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+    return ranked(d, [], "label", "code")
 
 
 def encode_target(df: DataFrame, y: str, out: str = "y_code", task: str | None = None) -> DataFrame:
     """Classification -> 0-based code of the normalised label; regression -> number."""
     if task == REGRESSION:
         return df.withColumn(out, F.col(y).cast("string").try_cast("double"))
-    t = bounded_broadcast(label_table(df, y).select(F.col("label").alias("_lbl"), F.col("code").alias(out)), 10_000)
+    t = fitted_table(label_table(df, y).select(F.col("label").alias("_lbl"), F.col("code").alias(out)))
     return df.withColumn("_lbl", norm_text(y)).join(t, "_lbl", "left").drop("_lbl")
 
 
 def decode_predictions(pred: DataFrame, code_col: str, labels: DataFrame, out: str) -> DataFrame:
     """Code -> original-case label; an unknown code stays (as text)."""
-    t = bounded_broadcast(labels.select(F.col("code").alias("_code"), F.col("original").alias("_orig")), 10_000)
+    t = fitted_table(labels.select(F.col("code").alias("_code"), F.col("original").alias("_orig")))
     return (
         pred.join(t, pred[code_col] == F.col("_code"), "left")
         .withColumn(out, F.coalesce(F.col("_orig"), F.col(code_col).cast("string")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.operators.infer import encode_target
-from tabforge.session import bounded_broadcast
+from tabforge.session import fitted_table
 
 
 def unpivot_text(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -50,8 +50,8 @@ def profile_shape(df: DataFrame) -> DataFrame:
 def profile_target(df: DataFrame, y: str) -> DataFrame:
     """Count and share per target value (nulls excluded), exact counts."""
     c = df.where(F.col(y).isNotNull()).groupBy(F.col(y).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()  # over the small per-value table only
-    return c.withColumn("share", F.col("n") / F.sum("n").over(w))
+    total = df.agg(F.count(y)).scalar()  # one value; a window would gather all values in one task
+    return c.withColumn("share", F.col("n") / total)
 
 
 def profile_imbalance(df: DataFrame, y: str, limit: float = 0.65) -> DataFrame:
@@ -147,9 +147,9 @@ def corr_numeric(df: DataFrame, cols: list[str], y_code: str) -> DataFrame:
     return wide.unpivot([], cols, "feature", "abs_r").where(F.col("abs_r").isNotNull())
 
 
-def corr_onehot(df: DataFrame, cat_cols: list[str], y_code: str, top: int = 2, max_cols: int = 8) -> DataFrame:
+def corr_onehot(df: DataFrame, cat_cols: list[str], y_code: str, top: int = 2, max_cols: int | None = None) -> DataFrame:
     """|r| of an indicator ``col == v`` for the ``top`` most frequent values of
-    the first ``max_cols`` categorical columns. Only n, sums and cross sums per
+    the first ``max_cols`` categorical columns (default: all). Only n, sums and cross sums per
     (column, value) are needed, so it is one counted aggregate, not one pass per
     indicator: with x in {0,1}, cov = Sxy/n - (Sx/n)(Sy/n), var x = p(1-p)."""
     cols = cat_cols[:max_cols]
@@ -162,13 +162,8 @@ def corr_onehot(df: DataFrame, cat_cols: list[str], y_code: str, top: int = 2, m
         F.count(F.lit(1)).alias("n"), F.sum("_y").alias("sxy"), F.sum(F.col("_y") * F.col("_y")).alias("syy")
     )
     # totals per column from the small counted table (every row lands in one value)
-    wc = Window.partitionBy("column")
-    per = (
-        per.withColumn("_tn", F.sum("n").over(wc))
-        .withColumn("_ty", F.sum("sxy").over(wc))
-        .withColumn("_tyy", F.sum("syy").over(wc))
-    )
-    j = top_k_per_column(per, top)
+    totals = per.groupBy("column").agg(F.sum("n").alias("_tn"), F.sum("sxy").alias("_ty"), F.sum("syy").alias("_tyy"))
+    j = top_k_per_column(per, top).join(F.broadcast(totals), "column")  # one row per column
     N = F.col("_tn").cast("double")
     p = F.col("n") / N
     cov = F.col("sxy") / N - p * (F.col("_ty") / N)
@@ -315,4 +310,4 @@ def data_summary(df: DataFrame, y: str, cols: list[str], num_cols: list[str], me
         .agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("examples"))
         .join(n_distinct, "column")
     )
-    return base.join(bounded_broadcast(ex), "column", "left")
+    return base.join(fitted_table(ex), "column", "left")

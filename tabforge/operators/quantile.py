@@ -1,23 +1,24 @@
 """Exact medians without gathering a column into one task.
 
 ``percentile(c, 0.5)`` keeps every distinct value of the group in one buffer; for a
-global aggregate that is the whole column in the final task. Here the rank of the
-median is narrowed by histogram passes instead: each pass is one distributed
-aggregate ``groupBy(column, target, bucket).count()`` returning at most
-``targets x buckets`` rows, and the bracket around the wanted rank shrinks about
-``buckets``-fold per pass. When at most ``final_rows`` values remain in a bracket the
-answer is picked inside Spark by an aggregate over that bounded bracket. Result
-equals pandas/DuckDB ``median`` (mean of the two middle values for even n).
+global aggregate that is the whole column in the final task. Here one scan takes a
+bracket around the median from a ``percentile_approx`` sketch, and a second counts the
+values inside it (and the rows below it). The counted values are range-partitioned on
+(column, value) and staged; per-partition sums tell in which partition a rank lies, and a
+running sum inside that partition picks its value. The values are only ordered, never
+divided into widths, so infinities and heavy tails change nothing. Result equals
+pandas/DuckDB ``median`` (mean of the two middle values for even n).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
-FINAL_ROWS = 50_000
-MAX_PASSES = 40
+from tabforge.session import staged
+
+#: Accuracy of the sketch: ranks are right within n / ACCURACY.
+ACCURACY = 10_000
 
 
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -28,76 +29,51 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(stack).select("kv.column", "kv.x").where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
+def _values_at(long: DataFrame, brackets: dict[str, tuple[float, float]], ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """(column, 0-based rank) -> value, for the ranks that lie inside the column's bracket."""
+    spark = long.sparkSession
+    brk = spark.createDataFrame([(c, lo, hi) for c, (lo, hi) in brackets.items()], "column string, lo double, hi double")
+    # rows below the bracket are one group per column, with a null value
+    inside = long.join(F.broadcast(brk), "column").where(F.col("x") <= F.col("hi"))
+    counted = inside.groupBy("column", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sliced = staged(counted.repartitionByRange(parts, "column", "x").withColumn("p", F.spark_partition_id()), "median")
+    slices: dict[str, list] = {}  # nulls sort first, so below-counts precede their column's values
+    for r in sliced.groupBy("column", "p").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("x").isNull(), F.col("n"))).alias("below")).orderBy("column", "p").collect():
+        slices.setdefault(r["column"], []).append(r)
+    wanted = []
+    for c, rows in slices.items():
+        for k in ranks[c]:
+            at = 0
+            for r in rows:
+                if k < at + r["n"]:
+                    wanted.append((c, r["p"], k, k - at))
+                    break
+                at += r["n"]
+    if not wanted:
+        return {}
+    want = spark.createDataFrame(wanted, "column string, p int, rank long, pos long")
+    upto = F.sum("n").over(Window.partitionBy("column", "p").orderBy("x"))
+    run = sliced.join(F.broadcast(want.select("column", "p").distinct()), ["column", "p"]).withColumn("upto", upto)
+    hit = run.join(F.broadcast(want), ["column", "p"]).where((F.col("pos") < F.col("upto")) & (F.col("pos") >= F.col("upto") - F.col("n")))
+    return {(r["column"], r["rank"]): r["x"] for r in hit.where(F.col("x").isNotNull()).collect()}
+
+
 def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """Exact median per column (nulls and NaN ignored); all-null column -> None."""
     if not cols:
         return {}
-    spark = df.sparkSession
     long = _long(df, cols)
-    stats = long.groupBy("column").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    by_col = {r["column"]: r for r in stats}
-    # state per (column, target rank): [lo, hi, below]
-    state: dict[tuple[str, int], list] = {}
-    result: dict[tuple[str, int], float] = {}
-    for c in cols:
-        r = by_col.get(c)
-        if r is None or r["n"] == 0:
-            continue
-        n = r["n"]
-        for k in sorted({(n - 1) // 2, n // 2}):
-            state[(c, k)] = [r["lo"], r["hi"], 0, n]  # lo, hi, below, count in bracket
-    for _ in range(MAX_PASSES):
-        active = {key: s for key, s in state.items() if key not in result}
-        # brackets of a single value are solved
-        for key, (lo, hi, below, cnt) in list(active.items()):
-            if lo == hi:
-                result[key] = lo
-                active.pop(key)
-        big = {key: s for key, s in active.items() if s[3] > FINAL_ROWS}
-        if not big:
-            break
-        brk = spark.createDataFrame(
-            [(c, k, float(s[0]), float(s[1])) for (c, k), s in big.items()], "column string, target long, lo double, hi double"
-        )
-        w = (F.col("hi") - F.col("lo")) / F.lit(BUCKETS)
-        bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("x") - F.col("lo")) / w)).cast("int")
-        hist = (
-            long.join(F.broadcast(brk), "column")
-            .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-            .groupBy("column", "target", bucket.alias("b"))
-            .agg(F.count("*").alias("n"), F.min("x").alias("bmin"), F.max("x").alias("bmax"))
-            .collect()
-        )
-        per: dict[tuple[str, int], list] = {}
-        for r in hist:
-            per.setdefault((r["column"], r["target"]), []).append(r)
-        for key, s in big.items():
-            rows = sorted(per.get(key, []), key=lambda r: r["b"])
-            below = s[2]
-            for r in rows:
-                if key[1] < below + r["n"]:
-                    state[key] = [r["bmin"], r["bmax"], below, r["n"]]
-                    break
-                below += r["n"]
-    # final pick inside Spark over bounded brackets
-    pending = {key: s for key, s in state.items() if key not in result}
-    if pending:
-        brk = spark.createDataFrame(
-            [(c, k, float(s[0]), float(s[1]), int(k - s[2])) for (c, k), s in pending.items()],
-            "column string, target long, lo double, hi double, pos long",
-        )
-        picked = (
-            long.join(F.broadcast(brk), "column")
-            .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-            .groupBy("column", "target", "pos")
-            .agg(F.array_sort(F.collect_list("x")).alias("xs"))
-            .select("column", "target", F.element_at("xs", (F.col("pos") + 1).cast("int")).alias("v"))
-            .collect()
-        )
-        for r in picked:
-            result[(r["column"], r["target"])] = r["v"]
-    out: dict[str, float | None] = {}
-    for c in cols:
-        vals = [result[key] for key in sorted(result) if key[0] == c]
-        out[c] = sum(vals) / len(vals) if vals else None
-    return out
+    off = 2 / ACCURACY
+    sketch = F.percentile_approx("x", [0.5 - off, 0.5 + off], ACCURACY)
+    stats = {
+        r["column"]: r
+        for r in long.groupBy("column").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), sketch.alias("s")).collect()
+    }
+    ranks = {c: sorted({(r["n"] - 1) // 2, r["n"] // 2}) for c, r in stats.items()}
+    found = _values_at(long, {c: tuple(r["s"]) for c, r in stats.items()}, ranks) if stats else {}
+    # a bracket that missed a rank (the sketch's bound does not hold) is replaced by the whole range
+    missed = {c: (stats[c]["lo"], stats[c]["hi"]) for c in stats if any((c, k) not in found for k in ranks[c])}
+    if missed:
+        found |= _values_at(long, missed, ranks)
+    return {c: sum(found[c, k] for k in ranks[c]) / len(ranks[c]) if c in stats else None for c in cols}

@@ -112,18 +112,24 @@ def q_accuracy(spark, d):
 
 @register(
     "rmse",
-    "A5 J1",
+    "A5 J4",
     f"""with o as (select *, {X.sql_hash8('o_orderkey')} % 5 as fold from orders),
-m as (select o_orderpriority, avg(o_totalprice) as pred from o where fold <> 0 group by 1)
+k as (select o_orderpriority, unnest(range(5)) as fold from (select distinct o_orderpriority from o)),
+m as (select k.o_orderpriority, k.fold, sum(o.o_totalprice::decimal(18, 2))::double / count(*) as pred
+  from k join o on o.o_orderpriority = k.o_orderpriority and o.fold <> k.fold group by 1, 2)
 select round(sqrt(avg(pow(m.pred - o.o_totalprice, 2))), 6) as rmse, round(-avg(pow(m.pred - o.o_totalprice, 2)), 3) as neg_mse
-from o join m on o.o_orderpriority = m.o_orderpriority where o.fold = 0""",
+from o join m on o.o_orderpriority = m.o_orderpriority and o.fold = m.fold""",
 )
 def q_rmse(spark, d):
-    from tabforge.operators.encode import lookup_join
+    from tabforge.operators.folds import fold_scatter
 
+    # every row is scored by the mean of its priority over the other four folds
     o = assign_folds(X.table(spark, d, "orders"), 5, "o_orderkey")
-    m = o.where("fold <> 0").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("pred"))
-    j = lookup_join(o.where("fold = 0"), "o_orderpriority", m, "o_orderpriority", "pred", "pred", None)
+    per = o.groupBy("o_orderpriority", "fold").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("s"), F.count(F.lit(1)).alias("n"))
+    total = per.groupBy("o_orderpriority").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    pred = F.try_divide((F.col("ts") - F.col("s")).cast("double"), F.col("tn") - F.col("n"))
+    m = per.join(total, "o_orderpriority").select("o_orderpriority", "fold", pred.alias("pred"))
+    j = fold_scatter(o, m, ["o_orderpriority"])
     r = D.rmse(j, "pred", "o_totalprice")
     return r.select(F.round("rmse", 6).alias("rmse"), F.round("neg_mse", 3).alias("neg_mse"))
 

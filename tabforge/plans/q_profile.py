@@ -161,7 +161,7 @@ def q_corr_onehot(spark, d):
     from tabforge.operators.infer import encode_target
 
     df = encode_target(_corr_frame(spark, d), "o_orderstatus", "y_code")
-    return P.corr_onehot(df, ["o_orderpriority", "c_mktsegment"], "y_code").select("feature", F.round("abs_r", 9).alias("abs_r"))
+    return P.corr_onehot(df, ["o_orderpriority", "c_mktsegment"], "y_code", top=2, max_cols=8).select("feature", F.round("abs_r", 9).alias("abs_r"))
 
 
 @register(

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Fitted tables (label maps, category statistics, bins) are broadcast only when they
-# are proven to hold at most this many rows; above it the join is left to AQE
-# (sort-merge with skew splitting, or a runtime broadcast if it turns out small).
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
 
 def build_session(master: str | None = None, app: str = "tabforge", **conf) -> SparkSession:
     """A session tuned for the operators here: AQE on, UTC, no UI."""
@@ -62,19 +57,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; stops scanning after limit+1."""
-    return df.limit(limit + 1).count() <= limit
+def staged(df: DataFrame, label: str, plain: bool = False) -> DataFrame:
+    """``df`` written as Parquet below the checkpoint folder and read back. The lineage is cut, the
+    rows outlive any executor, and the optimizer knows their size. ``plain`` files are neither
+    compressed nor dictionary-encoded, so that this size is close to that of the rows."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    w = df.write
+    if plain:
+        w = w.option("compression", "none").option("parquet.enable.dictionary", "false")
+    w.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
+def fitted_table(small: DataFrame) -> DataFrame:
+    """The small side of a join as a staged table without a hint. Spark broadcasts it where its
+    bytes are below ``spark.sql.autoBroadcastJoinThreshold``; beyond that the join shuffles, and AQE
+    splits skewed keys. No counting job runs and nothing stays persisted."""
+    return staged(small, "fitted", plain=True)
 
-def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; otherwise AQE decides
-    (shuffle join with skew splitting, or a runtime broadcast when statistics allow).
 
-    The small side is persisted and counted in full first, so its lineage (often an
-    aggregate over the big input) runs once and the join reads the materialised
-    rows; a limit-based probe would compute the aggregate's map stage twice."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if small.count() <= max_rows:
-        return F.broadcast(small)
-    return small
+def ranked(distinct: DataFrame, by: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
+    """``distinct`` with ``out`` = 0-based rank of ``value`` among the rows of equal ``by`` (each
+    (by, value) once). Rows are range-partitioned on (by, value) and staged, so a partition is a
+    slice of the order. Counts per slice (at most one row per slice and ``by``) give offsets; the
+    window runs inside a slice, so no column is ranked in one task."""
+    n = partitions or int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = staged(distinct.repartitionByRange(n, *by, value).withColumn("_p", F.spark_partition_id()), "ranked")
+    sizes = sliced.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = sliced.withColumn("_r", F.row_number().over(Window.partitionBy("_p", *by).orderBy(value)))
+    joined = local.join(F.broadcast(offsets), ["_p", *by])  # bounded by the number of slices
+    return joined.withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("int")).select(*distinct.columns, out)

@@ -97,9 +97,7 @@ def test_group_size_stats(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 10, 501])
-def test_exact_median_matches_numpy(spark, monkeypatch, n):
-    monkeypatch.setattr(Q, "FINAL_ROWS", 5)  # force several histogram passes
-    monkeypatch.setattr(Q, "BUCKETS", 4)
+def test_exact_median_matches_numpy(spark, n):
     rng = random.Random(n)
     xs = [float(rng.randint(0, 50)) for _ in range(n)]
     df = spark.createDataFrame([(x, None if i % 3 == 0 else x * 2, float("nan") if i == 1 else x) for i, x in enumerate(xs)], "a double, b double, c double")
@@ -385,12 +383,50 @@ def test_scan_prunes_columns(spark):
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan or "ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>" in plan
 
 
-def test_ordinal_large_path_equals_window_path(spark, monkeypatch):
+@pytest.mark.parametrize("xs", [[math.inf, 1.0, 2.0, 3.0], [-math.inf] * 3 + [0.5, 7.0], [1e-300, 1e300, 1.0, -1e300], [math.inf] * 3, [5.0] * 1000 + [6.0]])
+def test_exact_median_orders_infinities_and_tails(spark, xs):
+    df = spark.createDataFrame([(x,) for x in xs], "a double")
+    assert Q.exact_medians(df, ["a"])["a"] == float(np.median(xs))
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_exact_median_of_many_values(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(Q, "ACCURACY", accuracy)  # a coarse sketch leaves a wide bracket over several slices
+    df = spark.range(30_011).select((F.xxhash64("id") / 7.0).alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    xs = [r["a"] for r in df.collect()]
+    assert Q.exact_medians(df, ["a", "b"]) == {"a": float(np.median(xs)), "b": 1.0}
+
+
+def test_exact_median_whole_range_when_the_bracket_misses(spark, monkeypatch):
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda *a: F.array(F.max("x"), F.max("x")))
+    df = spark.createDataFrame([(float(x),) for x in range(10)], "a double")
+    assert Q.exact_medians(df, ["a"])["a"] == 4.5
+
+
+def test_joins_with_fitted_tables_leave_nothing_persisted(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.createDataFrame([(i, f"v{i % 5}", f"L{i % 3}", i % 2) for i in range(60)], "id long, c string, y string, fold int")
+    E.apply_ordinal(df, E.fit_ordinal(df, ["c"]), ["c"], "_code").count()
+    I.encode_target(df, "y").count()
+    FO.assign_stratified_folds(df.drop("fold"), 3, "id", "y").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_no_column_is_gathered_in_one_window(spark):
+    df = spark.range(50).select("id", F.md5(F.col("id").cast("string")).alias("c"), (F.col("id") * 1.0).alias("y"))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (P.profile_target(df, "y"), P.corr_onehot(df, ["c"], "y"))]
+    assert "Window" not in plans[0]
+    # P9 keeps only the rank of the top-k report, which has a group limit before its shuffle
+    assert "sum(n" not in "".join(x for x in plans[1].splitlines() if "Window [" in x)
+    codes = {r["label"]: r["code"] for r in I.label_table(df, "c").collect()}
+    assert [codes[k] for k in sorted(codes)] == list(range(50))
+
+
+def test_ordinal_codes_do_not_depend_on_partitions(spark):
     rng = random.Random(11)
     rows = [(f"v{rng.randint(0, 400):04d}", f"w{rng.randint(0, 50)}") for _ in range(2000)]
     df = spark.createDataFrame(rows, "a string, b string")
     small = {(r["column"], r["value"]): r["code"] for r in E.fit_ordinal(df, ["a", "b"]).collect()}
-    monkeypatch.setattr(E, "ORDINAL_WINDOW_ROWS", 10)
     big = {(r["column"], r["value"]): r["code"] for r in E.fit_ordinal(df, ["a", "b"], partitions=7).collect()}
     assert small == big
     for c in ("a", "b"):
