@@ -31,17 +31,36 @@ MIN_AGREE = 4
 BROADCAST_ROWS = 500_000
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(WS_CHARS))
+
+
+def _single_spaced(trimmed: Column) -> Column:
+    uneven = F.contains(trimmed, F.lit("  "))
+    for c in WS_CHARS.strip(" "):
+        uneven = uneven | F.contains(trimmed, F.lit(c))
+    return F.when(uneven, F.regexp_replace(trimmed, WS, " ")).otherwise(trimmed)
+
+
+def _digits_masked(plain: Column) -> Column:
+    # tries each token once from its start, so it is linear in the line
+    return F.when(F.rlike(plain, F.lit("[0-9]")), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+
+
 def masked(line: Column) -> Column:
-    """Line with single spaces, and ``<*>`` for every token that holds a digit. The pattern tries
-    each token once from its start, so it is linear in the line."""
-    plain = F.regexp_replace(F.btrim(line, F.lit(WS_CHARS)), WS, " ")
-    return F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
+    """Line with single spaces, and ``<*>`` for every token that holds a digit. Lines that are
+    single-spaced, or hold no digit, skip the replacement that would leave them as they are."""
+    return _digits_masked(_single_spaced(_trimmed(line)))
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
     """doc_id, pos, leaf and the 128-bit key (h1, h2) of every line that is long enough."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    m = lines.select("doc_id", "pos", masked(F.col("line")).alias("m"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    # masked before the rows are made: the filter on the count below would repeat it per line.
+    # The array is never empty; the outer form only keeps Spark from testing that beforehand.
+    for step in (_trimmed, _single_spaced, _digits_masked):
+        lines = F.transform(lines, step)
+    m = docs.select("doc_id", F.posexplode_outer(lines).alias("pos", "m"))
     t = m.withColumn("n", F.length("m") - F.length(F.replace(F.col("m"), F.lit(" "), F.lit(""))) + 1)
     lead = F.substring_index("m", " ", DEPTH)
     return t.filter(F.col("n") >= MIN_TOKENS).select(
