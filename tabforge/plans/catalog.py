@@ -52,6 +52,7 @@ def load_all() -> dict[str, QuerySpec]:
         q_encode,
         q_blend,
         q_text,
+        q_closed,
         q_models,
     )
 

@@ -94,7 +94,7 @@ def q_cross_validate(spark, d):
 @register("quick_cv", "M5")
 def q_quick_cv(spark, d):
     data = doc_data(spark, d)
-    s, error = M.quick_cv(data, k=3, rounds=20)
+    s, error = M.quick_cv(data)
     data.release()
     return spark.createDataFrame([(data.task, s, error)], "task string, score double, error string")
 
@@ -188,15 +188,6 @@ def order_reg(spark, d):
     return assign_folds(o, K, "o_orderkey")
 
 
-@register("meta_ridge", "M11")
-def q_meta_ridge(spark, d):
-    o = order_reg(spark, d)
-    cols = ["n_lines", "sum_qty", "avg_price"]
-    tr = o.select(F.col("o_orderkey").alias("id"), "fold", F.col("o_totalprice").alias("label"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
-    oof, _ = M.meta_ridge(tr, None, cols, K)
-    return oof
-
-
 @register("stacking", "M12 J6 M7 M9 M10 D1 D3 D5 I2 I3")
 def q_stacking(spark, d):
     data = doc_data(spark, d)
@@ -258,12 +249,38 @@ def q_keep_if_better(spark, d):
     return keep_if_better(spark.createDataFrame(rows, "name string, score double, is_baseline boolean"))
 
 
-@register("prepare_features", "E9 E8 E1 E2 E3 E7 E5 E6")
+_SQL_COUNTS = r"""select doc_id, lang, source, n_chars, cast(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) as double) as n_words,
+  cast(length(text) - length(replace(text, chr(10), '')) + 1 as double) as n_lines from documents"""
+_SQL_NUM = ["n_chars", "n_words", "n_lines"]
+
+
+@register(
+    "prepare_features",
+    "E9 E8 E1 E2 E3 E7 E5 E6",
+    f"""with f as ({X.SQL_TRAIN_DOCS_FOLDED}), w as ({_SQL_COUNTS}),
+g as (select avg(quality::double) as gm from f),
+s as (select source, fold, sum(quality::double) as s, count(*) as n from f group by source, fold),
+tot as (select source, sum(s) as ts, sum(n) as tn from s group by source),
+per as (select x.source, (x.ts - coalesce(s.s, 0) + {E.SMOOTHING} * gm) / (x.tn - coalesce(s.n, 0) + {E.SMOOTHING}) as enc
+  from (select *, unnest(range({K})) as fold from tot) x left join s on x.source = s.source and x.fold = s.fold cross join g),
+tab as (select source, avg(enc) as enc from per group by source),
+code as (select lang, row_number() over (order by lang) - 1 as code from (select distinct coalesce(lang, '__NA__') as lang from f)),
+med as (select {", ".join(f"median(w.{c}::double) as m_{c}" for c in _SQL_NUM)} from f join w using (doc_id)),
+rows as (
+  select f.doc_id, f.fold, f.quality::double as label, 'train' as split, (tot.ts - s.s + {E.SMOOTHING} * gm) / (tot.tn - s.n + {E.SMOOTHING}) as te
+  from f join s on f.source = s.source and f.fold = s.fold join tot on f.source = tot.source cross join g
+  union all
+  select t.doc_id, null, null, 'test', coalesce(tab.enc, gm) from ({X.SQL_TEST_DOCS}) t left join tab on t.source = tab.source cross join g)
+select rows.doc_id as id, fold, label, split, round(te, 9) as source, {", ".join(f"coalesce(w.{c}::double, m_{c}) as {c}" for c in _SQL_NUM)},
+  coalesce(code.code, -1)::double as lang_code
+from rows join w using (doc_id) cross join med left join code on coalesce(w.lang, '__NA__') = code.lang""",
+)
 def q_prepare_features(spark, d):
-    """Impute, encode and assemble train and test once (the vector table
-    every model query starts from)."""
+    """Impute, encode and assemble train and test once (the vector table every model query
+    starts from), read back from the assembled vectors."""
     data = doc_data(spark, d)
-    a = data.train.select("id", "fold", "label", vector_to_array("features").alias("features"), F.lit("train").alias("split"))
-    b = data.test.select("id", F.lit(None).cast("int").alias("fold"), F.lit(None).cast("double").alias("label"),
-                         vector_to_array("features").alias("features"), F.lit("test").alias("split"))
+    v = vector_to_array("features")
+    cols = [F.round(v[i], 9).alias(c) for i, c in enumerate(data.feature_cols)]
+    a = data.train.select("id", "fold", "label", F.lit("train").alias("split"), *cols)
+    b = data.test.select("id", F.lit(None).cast("int").alias("fold"), F.lit(None).cast("double").alias("label"), F.lit("test").alias("split"), *cols)
     return _finish(a.unionByName(b), data)
