@@ -14,7 +14,6 @@ from tabforge.session import fitted_table, ranked
 
 BINARY, MULTICLASS, REGRESSION = "BINARY", "MULTICLASS", "REGRESSION"
 # fixed values of the task rule
-NUMERIC_SHARE = 0.95
 MAX_CLASSES = 25
 ID_LIKE_SHARE = 0.97
 ID_LIKE_MIN = 50

@@ -10,7 +10,7 @@ from tabforge.plans import fixtures as X
 from tabforge.plans.catalog import register
 
 K = X.K
-M = E.SMOOTHING
+M = 30.0  # written out: the SQL is not built from the operator's constant
 
 _SQL_TE_BASE = f"""
 with f as ({X.SQL_TRAIN_DOCS_FOLDED}),

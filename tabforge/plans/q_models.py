@@ -261,13 +261,13 @@ _SQL_NUM = ["n_chars", "n_words", "n_lines"]
 g as (select avg(quality::double) as gm from f),
 s as (select source, fold, sum(quality::double) as s, count(*) as n from f group by source, fold),
 tot as (select source, sum(s) as ts, sum(n) as tn from s group by source),
-per as (select x.source, (x.ts - coalesce(s.s, 0) + {E.SMOOTHING} * gm) / (x.tn - coalesce(s.n, 0) + {E.SMOOTHING}) as enc
+per as (select x.source, (x.ts - coalesce(s.s, 0) + 30.0 * gm) / (x.tn - coalesce(s.n, 0) + 30.0) as enc
   from (select *, unnest(range({K})) as fold from tot) x left join s on x.source = s.source and x.fold = s.fold cross join g),
 tab as (select source, avg(enc) as enc from per group by source),
 code as (select lang, row_number() over (order by lang) - 1 as code from (select distinct coalesce(lang, '__NA__') as lang from f)),
 med as (select {", ".join(f"median(w.{c}::double) as m_{c}" for c in _SQL_NUM)} from f join w using (doc_id)),
 rows as (
-  select f.doc_id, f.fold, f.quality::double as label, 'train' as split, (tot.ts - s.s + {E.SMOOTHING} * gm) / (tot.tn - s.n + {E.SMOOTHING}) as te
+  select f.doc_id, f.fold, f.quality::double as label, 'train' as split, (tot.ts - s.s + 30.0 * gm) / (tot.tn - s.n + 30.0) as te
   from f join s on f.source = s.source and f.fold = s.fold join tot on f.source = tot.source cross join g
   union all
   select t.doc_id, null, null, 'test', coalesce(tab.enc, gm) from ({X.SQL_TEST_DOCS}) t left join tab on t.source = tab.source cross join g)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -45,13 +44,7 @@ def _scratch(spark) -> str:
     """A fresh folder under the session's checkpoint root (shared on a cluster)."""
     from tabforge.session import ensure_checkpoint_dir
 
-    root = ensure_checkpoint_dir(spark)
-    if root.startswith("file:"):
-        root = root[5:]
-    if "://" in root:
-        return root.rstrip("/") + "/predictions-" + os.urandom(6).hex()
-    os.makedirs(root, exist_ok=True)
-    return tempfile.mkdtemp(prefix="predictions-", dir=root)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
 
 
 @register(

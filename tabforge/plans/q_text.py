@@ -217,9 +217,8 @@ def _sql_card_errors(j="card"):
     def g(p):
         return f"json_extract({j}, '{p}')"
 
-    from tabforge.operators.textops import CARD_FIELDS
-
-    checks = [(f"{g('$.' + f)} is null", f"missing field: {f}") for f in CARD_FIELDS]
+    fields = ["name", "description", "url", "version", "capabilities", "defaultInputModes", "defaultOutputModes", "skills"]
+    checks = [(f"{g('$.' + f)} is null", f"missing field: {f}") for f in fields]
     url = f"json_extract_string({j}, '$.url')"
     checks.append((f"{url} is not null and not (starts_with({url}, 'http://') or starts_with({url}, 'https://'))", "url not absolute"))
     checks.append((f"{g('$.capabilities')} is not null and json_type({g('$.capabilities')}) <> 'OBJECT'", "capabilities not an object"))
@@ -273,3 +272,19 @@ def q_parse_params(spark, d):
     )
     r = TO.parse_params(b.withColumn("m", m), "m")
     return r.select("conv_id", "turn", "model", F.col("params").getItem("max_depth").try_cast("double").alias("max_depth"))
+
+
+@register(
+    "parse_event_params",
+    "X7",
+    """select event_id, case when event_type = 'error' then 'XGBoost' else event_type end as model,
+  case when event_type <> 'error' then try_cast(json_extract_string(props, '$.k') as double) end as k, cast(event_type <> 'error' and json_valid(props) as int) as has_params
+from events""",
+)
+def q_parse_event_params(spark, d):
+    """The events' own JSON as the parameters of a message; error events carry a cut-off message."""
+    e = X.table(spark, d, "events").select("event_id", "event_type", "props")
+    whole = F.concat(F.lit('TUNED_PARAMS:{"model": "'), "event_type", F.lit('", "params": '), "props", F.lit("}\nOUTPUT_PATH:/x"))
+    cut = F.concat(F.lit('TUNED_PARAMS:{"model": "'), "event_type", F.lit('", "params": '), "props")
+    r = TO.parse_params(e.withColumn("m", F.when(F.col("event_type") == "error", cut).otherwise(whole)), "m")
+    return r.select("event_id", "model", F.col("params").getItem("k").try_cast("double").alias("k"), (F.size("params") > 0).cast("int").alias("has_params"))

@@ -10,7 +10,6 @@ driver-memory sink.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +34,8 @@ def run_to_table(stream: DataFrame, name: str | None = None) -> DataFrame:
     the written rows as a batch DataFrame."""
     spark = stream.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    if root.startswith("file:"):
-        root = root[5:]
     tag = name or "stream"
     base = f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
-    if "://" not in base:
-        os.makedirs(base, exist_ok=True)
     q = (
         stream.writeStream.format("parquet")
         .option("path", base + "/data")
