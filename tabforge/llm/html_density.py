@@ -5,7 +5,8 @@ and link tags give its link-adjusted density; the children's densities add up to
 sum. The subtree of the largest sum is the content, and the smallest density on the path from the
 body to it is the threshold: blocks inside it that are mostly links and lie below the threshold go.
 Boilerplate elements (menus, headers, footers, asides, forms, adverts, notices, comments) are cut
-before, by tag, role and class words; a subtree inside an article or main element grows to that.
+before, by tag and role; by class words only if no article, main or h1 element and not the bulk of the
+text goes with them. A subtree inside an article or main element grows to that.
 
 Defined results: null or empty html, or a page without text, gives the empty string; broken markup
 is read as far as it goes (a tag cut off at the end of the page is dropped); repeated rows each get
@@ -37,19 +38,24 @@ ENDS = {
 NOT_IN_P = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "legend", "html", "body"}
 P_FENCE = frozenset("table td th caption button html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
+#: Words of a class or id that name boilerplate, as whole tokens or in a usual compound (``site-footer``, ``comment-list``).
+#: Other compounds (``no-sidebar``, ``elementor-widget``) name a layout.
 WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|nav\w*|menu|breadcrumbs?|sidebar"
-    r"|side|footer|masthead|site-header|page-header|comments?|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login"
-    r"|widget|toolbar|skip-link|pagination|pager|copyright)(?:$|[\s_-])",
+    r"(?:(?:site|page|main|top|bottom|global|primary|secondary|post|entry)[_-])?"
+    r"(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar"
+    r"|side|footer|masthead|comments?|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login"
+    r"|widget|toolbar|skip-link|pagination|pager|copyright)"
+    r"(?:[_-](?:list|links?|buttons?|bar|box|area|section|block|container|wrapper|banner|notice|form|menu|items?|posts?|icons?|slot|unit|primary|secondary|left|right|\d+))?"
+    r"|(?:site|page)-header",
     re.I,
 )
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut", "named")
 
-    def __init__(self, tag, parent, cut=False):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag, parent, cut=False, named=False):
+        self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
         self.items: list = []
 
 
@@ -76,11 +82,10 @@ class Tree(HTMLParser):
         if tag == "body":
             self._close({"head"}, frozenset())
         a = {k: v or "" for k, v in attrs}
-        named = f"{a.get('class', '')} {a.get('id', '')}"
+        named = any(WORDS.fullmatch(w) for w in f"{a.get('class', '')} {a.get('id', '')}".split())
         cut = tag in HIDDEN or tag in BOILERPLATE or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-        cut = cut or (tag not in ("html", "body", "article", "main", "p", "a", "h1") and bool(WORDS.search(named)))
         cut = cut or (tag == "header" and not any(c.tag in ("article", "main") for c in self._path()))
-        node = Node(tag, self.at, cut)
+        node = Node(tag, self.at, cut, named)
         self.at.items.append(node)
         if tag not in VOID:
             self.at = node
@@ -120,8 +125,8 @@ def _walk(top: Node):
         todo.extend(c for c in reversed(n.items) if isinstance(c, Node) and not c.cut)
 
 
-def measure(body: Node) -> list[Node]:
-    """Sets counts, densities and density sums; returns all nodes, parents first."""
+def count(body: Node) -> list[Node]:
+    """Sets characters, tags and their links; returns all nodes that are not cut, parents first."""
     nodes = list(_walk(body))
     for n in nodes:
         n.chars = sum(len("".join(c.split())) for c in n.items if isinstance(c, str))
@@ -135,6 +140,46 @@ def measure(body: Node) -> list[Node]:
             p.tags += n.tags + 1
             p.link_chars += n.link_chars
             p.link_tags += n.link_tags + (n.tag == "a")
+    return nodes
+
+
+def _above(n: Node, tag: str):
+    while (n := n.parent) is not None:
+        if n.tag == tag:
+            yield n
+
+
+def cut_named(body: Node) -> None:
+    """Cuts subtrees named as boilerplate that hold no article, main or h1 element. Unless the page
+    shows its article elsewhere (a main element, or an article with the h1), one with half of the
+    text outside links stays, and if they hold half together, those that are not mostly links stay.
+    What stays is left to the density sum."""
+    nodes = count(body)
+    if not any(n.named for n in nodes):
+        return
+    holds = set()  # nodes with an article, main or h1 that is not itself named as boilerplate
+    for n in reversed(nodes):
+        if (n.tag in ("article", "main", "h1") and not n.named) or n in holds:
+            holds.update((n, n.parent))
+    h1 = {a for n in nodes if n.tag == "h1" and not n.named for a in _above(n, "article")}
+    shown = any(n.chars and not n.named and (n.tag == "main" or n in h1) for n in nodes)
+    plain = body.chars - body.link_chars
+    found, todo = [], [body]
+    while todo:
+        n = todo.pop()
+        exempt = n is body or n.tag in ("html", "body", "article", "main", "p", "a", "h1") or n in holds
+        if n.named and not exempt and (shown or n.chars == n.link_chars or 2 * (n.chars - n.link_chars) < plain):
+            found.append(n)
+        else:
+            todo.extend(c for c in n.items if isinstance(c, Node) and not c.cut)
+    many = not shown and 2 * sum(n.chars - n.link_chars for n in found) >= plain
+    for n in found:
+        n.cut = not many or 2 * n.link_chars > n.chars or not n.chars
+
+
+def measure(body: Node) -> list[Node]:
+    """Sets counts, densities and density sums; returns all nodes, parents first."""
+    nodes = count(body)
     ratio = body.link_chars / max(body.chars, 1)
     for n in nodes:
         c, t, lc, lt = n.chars, max(n.tags, 1), n.link_chars, n.link_tags
@@ -201,6 +246,7 @@ def extract(html: str | None) -> str:
         return ""
     root = parse(html)
     body = next((n for n in _walk(root) if n.tag == "body"), root)
+    cut_named(body)
     top, threshold = main_node(body)
     return " ".join(blocks(top, threshold))
 

@@ -228,6 +228,29 @@ def test_main_text():
     assert html_density.extract("<div>" * 3000 + "deep") == "deep"
 
 
+def html_part(seed, n=5):
+    rng = random.Random(seed)
+    return [" ".join(prose(rng, 100).split()) for _ in range(n)]
+
+
+def html_tags(texts, tag="p"):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+
+
+MENU = "<ul class=nav>" + "".join(f"<li><a href={i}>item {i}</a></li>" for i in range(12)) + "</ul>"
+
+
+def test_text_in_named_wrappers():
+    text = html_part(1)
+    for named in ("content no-sidebar", "layout with-sidebar", "elementor-widget elementor-widget-text-editor", "widget", "site related", "share"):
+        crumbs = "<div class=widget>Subscribe now</div><div class='comment-list'>nice page</div>"
+        assert html_density.extract(f'<body>{MENU}<div class="{named}">{html_tags(text)}</div>{crumbs}</body>') == " ".join(text)
+        inside = f"<article><h1>Head</h1>{html_tags(text[:1])}</article><div class=sidebar>{html_tags(html_part(2))}</div>"
+        assert html_density.extract(f'<body>{MENU}<div class="{named}">{inside}</div></body>') == "Head " + text[0]
+    short = "<div class=ad>Longer than the article itself, by far.</div><article><h1>Head</h1><p>Short.</article>"
+    assert html_density.extract(f"<body>{MENU}{short}</body>") == "Head Short."
+
+
 def test_pages(spark):
     p = spark.createDataFrame([(1, "u", "<article><p>a b</p></article>", 5), (2, None, None, 5), (1, "u", "<p>x", 5)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_density.extract_pages(p).collect()) == [(1, "a b", 3), (1, "x", 1), (2, "", 0)]
