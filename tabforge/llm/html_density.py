@@ -2,11 +2,13 @@
 
 Every page is parsed to a tree. For each node below the body, characters, tags, link characters
 and link tags give its link-adjusted density; the children's densities add up to a node's density
-sum. The subtree of the largest sum is the content, and the smallest density on the path from the
-body to it is the threshold: blocks inside it that are mostly links and lie below the threshold go.
-Boilerplate elements (menus, headers, footers, asides, forms, adverts, notices, comments) are cut
-before, by tag and role; by class words only if no article, main or h1 element and not the bulk of the
-text goes with them. A subtree inside an article or main element grows to that.
+sum. The smallest density on the path from the body to the largest sum is the threshold; from the
+body down, every subtree that reaches it gives its node of the largest sum, and these are the
+content in page order, with what lies between those of one parent and the headings right before.
+Blocks inside that are mostly links and lie below the threshold go. Boilerplate elements (menus,
+headers, footers, asides, forms, adverts, notices, comments) are cut before, by tag and role; by
+class words only if no article, main or h1 element and not the bulk of the text goes with them. A
+content node inside an article or main element grows to that.
 
 Defined results: null or empty html, or a page without text, gives the empty string; broken markup
 is read as far as it goes (a tag cut off at the end of the page is dropped); repeated rows each get
@@ -49,10 +51,13 @@ WORDS = re.compile(
     r"|(?:site|page)-header",
     re.I,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Never the whole of an article.
+PARTS = frozenset("p h1 h2 h3 span b i em strong a li td tr tbody blockquote pre".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut", "named")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut", "named", "peak")
 
     def __init__(self, tag, parent, cut=False, named=False):
         self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
@@ -192,21 +197,76 @@ def measure(body: Node) -> list[Node]:
     return nodes
 
 
-def main_node(body: Node) -> tuple[Node, float]:
-    """Subtree of the largest density sum, and the smallest density on its path from the body."""
-    best = max(measure(body), key=lambda n: n.total)
-    n, threshold = best, best.density
-    while n is not body:
+def _grown(n: Node, top: Node) -> Node:
+    """``n``, or the outermost article or main element around it up to ``top``; never a mere part."""
+    best = n
+    while n is not top:
         n = n.parent
-        threshold = min(threshold, n.density)
-    n = best
-    while n is not body:
         if n.tag in ("article", "main"):
             best = n
+    while best is not top and best.tag in PARTS:
+        best = best.parent
+    return best
+
+
+def main_nodes(body: Node) -> tuple[list[Node], float]:
+    """Content in page order, and the threshold: the smallest density on the path from the largest
+    density sum to the body. From the body down, each subtree that reaches the threshold, by its density
+    or, if not mostly links, by its sum (parts of alike paragraphs), gives its node of the largest sum."""
+    nodes = measure(body)
+    for n in nodes:
+        n.peak = n
+    for n in reversed(nodes):  # of equal sums the first in page order
+        if n is not body and (n.peak.total > n.parent.peak.total or (n.peak.total == n.parent.peak.total and n.parent.peak is not n.parent)):
+            n.parent.peak = n.peak
+    n = body.peak
+    threshold = n.density
+    while n is not body:
         n = n.parent
-    while best is not body and best.tag in ("p", "h1", "h2", "h3", "span", "b", "i", "em", "strong", "a", "li", "td", "tr", "tbody", "blockquote", "pre"):
-        best = best.parent  # a single paragraph is not the article
-    return best, threshold
+        threshold = min(threshold, n.density)
+    chosen, seen, todo = set(), set(), [body]
+    while todo:
+        n = todo.pop()
+        dense = n.density >= threshold or (n.total >= threshold and 2 * n.link_chars <= n.chars)
+        if dense and n.peak not in seen and (n.chars or n is body):
+            seen.add(n.peak)
+            chosen.add(_grown(n.peak, n))
+        if n not in chosen:
+            todo.extend(c for c in n.items if isinstance(c, Node) and not c.cut)
+    return [n for n in nodes if n in chosen], threshold
+
+
+def pieces(body: Node, chosen: list[Node]) -> list[Node]:
+    """Page parts to read: what lies between content nodes of one parent belongs to them, and so
+    do the headings right before."""
+    if body in chosen:
+        return [body]
+    groups: dict[Node, list[Node]] = {}
+    for n in chosen:
+        groups.setdefault(n.parent, []).append(n)
+    tops, inside = [], set()
+    for p, own in groups.items():
+        at = {x: i for i, x in enumerate(p.items) if isinstance(x, Node)}
+        lo, hi = at[own[0]], at[own[-1]]
+        for i in range(lo - 1, -1, -1):
+            x = p.items[i]
+            if isinstance(x, Node) and x.tag in HEADINGS and not x.cut:
+                lo = i
+            elif isinstance(x, Node) or x.strip():
+                break
+        top = Node("#part", p)
+        top.items = p.items[lo : hi + 1]
+        tops.append(top)
+        inside.update(x for x in top.items if isinstance(x, Node))
+    out = []
+    for top in tops:
+        n = top.parent
+        while n is not None and n not in inside:
+            n = n.parent
+        if n is None:
+            out.append(top)
+    place = {n: i for i, n in enumerate(_walk(body))}
+    return sorted(out, key=lambda t: place[next(x for x in t.items if isinstance(x, Node) and x in place)])
 
 
 def blocks(top: Node, threshold: float) -> list[str]:
@@ -247,8 +307,8 @@ def extract(html: str | None) -> str:
     root = parse(html)
     body = next((n for n in _walk(root) if n.tag == "body"), root)
     cut_named(body)
-    top, threshold = main_node(body)
-    return " ".join(blocks(top, threshold))
+    chosen, threshold = main_nodes(body)
+    return " ".join(x for top in pieces(body, chosen) for x in blocks(top, threshold))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -249,6 +249,17 @@ def test_text_in_named_wrappers():
         assert html_density.extract(f'<body>{MENU}<div class="{named}">{inside}</div></body>') == "Head " + text[0]
     short = "<div class=ad>Longer than the article itself, by far.</div><article><h1>Head</h1><p>Short.</article>"
     assert html_density.extract(f"<body>{MENU}{short}</body>") == "Head Short."
+    split = "".join(f"<div class=widget>{html_tags(html_part(i))}</div>" for i in range(3))
+    assert html_density.extract(f"<body>{MENU}{split}</body>") == " ".join(" ".join(html_part(i)) for i in range(3))
+
+
+def test_text_in_several_parts():
+    one, two, three = html_part(1), html_part(2), html_part(3, 7)
+    for tag in ("div", "section"):
+        for page in ("<body>{}</body>", "<body><div id=page>{}</div></body>"):
+            parts = f"<h2>Head</h2><{tag}>{html_tags(one)}</{tag}><h3>Middle</h3><{tag}>{html_tags(two)}</{tag}><{tag}>{html_tags(three)}</{tag}>"
+            got = html_density.extract(page.format(f"{MENU}{parts}<div>Other footer words</div>"))
+            assert got == " ".join(["Head", *one, "Middle", *two, *three])
 
 
 def test_pages(spark):
