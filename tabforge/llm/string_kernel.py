@@ -29,7 +29,7 @@ SAMPLE_PER_LANG, LANDMARKS_PER_LANG = 400, 32
 RIDGE = 1e-4
 BATCH = 128
 UNKNOWN = "und"
-_LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 _MUL = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 
 
@@ -43,7 +43,7 @@ def grams(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTER[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    letter = _LETTER[c]
     if not letter.any():
         return None
     c = np.where(letter, c, np.uint32(32))

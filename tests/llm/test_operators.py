@@ -343,6 +343,12 @@ def test_language(spark, none):
     assert {r["lang_pred"] for r in no_labels.collect()} == {"und"}
 
 
+def test_language_letters_beyond_the_basic_plane():
+    assert string_kernel.grams(chr(0x1F600) * 9 + " 12 %" + chr(0x1D7D8)) is None  # emoji, digits and signs
+    assert string_kernel.grams(chr(0x20000) * 3) is not None  # an ideograph is a letter
+    assert string_kernel.grams("one" + chr(0x1F600) + "two").tolist() == string_kernel.grams("one two").tolist()
+
+
 # ---- 9, 10 ------------------------------------------------------------------------------------
 
 
