@@ -7,6 +7,9 @@ texts give Nyström features (kernel values times the inverse root of the landma
 matrix), on which one ridge regression per language (one versus the rest) is solved. Scoring is a
 product of a batch's presence matrix with the landmarks, and one with the weights.
 
+What a text shares with its nearest landmarks, beyond chance and piece by piece, is its evidence; the
+least for a learned language is a share of the usual evidence of labelled rows.
+
 The model is fitted on a bounded sample of labelled rows (``SAMPLE_PER_LANG`` a language, chosen by
 the hash of doc_id among the rows allowed for training); every text is scored whole.
 
@@ -28,6 +31,10 @@ SPECTRUM, PLACES = 3, 1 << 14
 SAMPLE_PER_LANG, LANDMARKS_PER_LANG = 400, 32
 RIDGE = 1e-4
 BATCH = 128
+#: Characters of a piece (long texts hold every common gram), and the share of the usual evidence below
+#: which a text is in no learned language.
+PIECE, FOREIGN = 1000, 0.6
+NEAREST = 8
 UNKNOWN = "und"
 _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 _MUL = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
@@ -38,8 +45,8 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def grams(text: str | None) -> np.ndarray | None:
-    """Places of the text's blended spectrum, or None if it has no letter."""
+def _letters(text: str | None) -> np.ndarray | None:
+    """Code points, one blank for each run of other characters than letters; None without a letter."""
     if not text:
         return None
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -47,7 +54,10 @@ def grams(text: str | None) -> np.ndarray | None:
     if not letter.any():
         return None
     c = np.where(letter, c, np.uint32(32))
-    c = c[letter | np.append(True, letter[:-1])]  # one blank for each run of other characters
+    return c[letter | np.append(True, letter[:-1])]
+
+
+def _places(c: np.ndarray) -> np.ndarray:
     out, h = [], np.zeros(len(c), np.uint32)
     for k in range(SPECTRUM):
         if len(c) <= k:
@@ -58,6 +68,18 @@ def grams(text: str | None) -> np.ndarray | None:
     return np.unique(np.concatenate(out))
 
 
+def grams(text: str | None) -> np.ndarray | None:
+    """Places of the text's blended spectrum, or None if it has no letter."""
+    c = _letters(text)
+    return None if c is None else _places(c)
+
+
+def pieces(text: str | None) -> list[np.ndarray]:
+    """Gram places of the text's pieces of about ``PIECE`` characters (no letter: none)."""
+    c = _letters(text)
+    return [] if c is None else [_places(x) for x in np.array_split(c, max(1, round(len(c) / PIECE)))]
+
+
 def presence(rows: list[np.ndarray | None]) -> np.ndarray:
     """Presence matrix, each row scaled to length 1 (no letter: zeros)."""
     x = np.zeros((len(rows), PLACES), np.float32)
@@ -67,16 +89,39 @@ def presence(rows: list[np.ndarray | None]) -> np.ndarray:
     return x
 
 
+def overlap(rows: list[np.ndarray], landmarks: np.ndarray) -> np.ndarray:
+    """Shared places over the smaller count of both, less what chance would share: 0 is chance, 1 all.
+    Unlike the kernel it does not fall with the difference in length."""
+    n = np.array([[len(g)] for g in rows], np.float64)
+    m = (landmarks > 0).sum(1).astype(np.float64)[None, :]
+    shared = (presence(rows) @ landmarks.T) * np.sqrt(n * m)
+    chance = n * m / PLACES
+    return (shared - chance) / np.maximum(np.minimum(n, m) - chance, 1e-9)
+
+
+def nearest(o: np.ndarray) -> np.ndarray:
+    """Mean of each row's largest overlaps, ``NEAREST`` at most: a single long landmark proves little."""
+    return np.sort(o, axis=1)[:, -NEAREST:].mean(1)
+
+
 @dataclass
 class Model:
     langs: list[str]
     landmarks: np.ndarray  # scaled presence, one row each
     weights: np.ndarray  # landmarks x languages, Nyström root included
     offset: np.ndarray
+    bound: float = 0.0  # least evidence of a text in a learned language
 
     def scores(self, rows: list[np.ndarray | None]) -> np.ndarray:
         return (presence(rows) @ self.landmarks.T) @ self.weights + self.offset
 
+    def evidence(self, parts: list[list[np.ndarray]]) -> list[float]:
+        """Of each text the mean overlap of its pieces with their nearest landmarks (no letter: 0)."""
+        flat = [g for p in parts for g in p]
+        best = np.concatenate([np.zeros(0), *(nearest(overlap(flat[i : i + BATCH], self.landmarks)) for i in range(0, len(flat), BATCH))])
+        ends = np.cumsum([len(p) for p in parts])
+        return [float(best[e - len(p) : e].mean()) if p else 0.0 for p, e in zip(parts, ends, strict=True)]
+
 
 def training_rows(docs: DataFrame, per_lang: int) -> DataFrame:
     """lang, text, place (order within the language): at most ``per_lang`` rows a language. A
@@ -98,13 +143,14 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, landmarks: int = LANDM
     def rows(batches):
         for b in batches:
             got = [grams(t.as_py()) for t in b.column(1)]
+            first = [next(iter(pieces(t.as_py())), None) for t in b.column(1)]
             keep = pa.array([i for i, g in enumerate(got) if g is not None], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(keep), b.column(2).take(keep), pa.array([g.astype("<u2").tobytes() for g in got if g is not None], pa.binary())],
-                ["lang", "place", "grams"],
+                [b.column(0).take(keep), b.column(2).take(keep), *(pa.array([g.astype("<u2").tobytes() for g in x if g is not None], pa.binary()) for x in (got, first))],
+                ["lang", "place", "grams", "piece"],
             )
 
-    sample = training_rows(docs, per_lang).mapInArrow(rows, "lang string, place int, grams binary").orderBy("lang", "place").collect()
+    sample = training_rows(docs, per_lang).mapInArrow(rows, "lang string, place int, grams binary, piece binary").orderBy("lang", "place").collect()
     if not sample:
         return None
     langs = sorted({r["lang"] for r in sample})
@@ -120,19 +166,27 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, landmarks: int = LANDM
     centre, offset = phi.mean(0), y.mean(0)
     phi, y = phi - centre, y - offset
     beta = np.linalg.solve(phi.T @ phi + ridge * len(sample) * np.eye(len(chosen)), phi.T @ y)
-    return Model(langs, marks, (root @ beta).astype(np.float32), (offset - centre @ beta).astype(np.float32))
+    # usual evidence of labelled rows by landmarks other than themselves
+    first = [np.frombuffer(r["piece"], "<u2").astype(np.int64) for r in sample]
+    near = np.concatenate([overlap(first[i : i + BATCH], marks) for i in range(0, len(first), BATCH)])
+    near[chosen, np.arange(len(chosen))] = 0
+    bound = FOREIGN * float(np.median(nearest(near)))
+    return Model(langs, marks, (root @ beta).astype(np.float32), (offset - centre @ beta).astype(np.float32), bound)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` plus lang_pred and score (0 to 1); only ``text`` is looked at."""
+def predict(docs: DataFrame, model: Model | None, evidence: bool = False) -> DataFrame:
+    """``docs`` plus lang_pred and score (0 to 1), and evidence if asked; only ``text`` is looked at."""
     kept = docs.columns
     schema = docs.schema
 
     def rows(batches):
         for b in batches:
-            lang, score = [], []
+            lang, score, proof = [], [], []
             for lo in range(0, b.num_rows, BATCH):
                 got = [grams(t.as_py()) for t in b.column(kept.index("text")).slice(lo, BATCH)]
+                if evidence:
+                    parts = [pieces(t.as_py()) for t in b.column(kept.index("text")).slice(lo, BATCH)]
+                    proof.extend(model.evidence(parts) if model is not None else [0.0] * len(parts))
                 if model is None:
                     got = [None] * len(got)
                 else:
@@ -145,10 +199,22 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                         k = int(np.argmax(s[i]))
                         lang.append(model.langs[k])
                         score.append(float(min(1.0, max(0.0, (s[i, k] + 1) / 2))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), *([pa.array(proof, pa.float64())] if evidence else [])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*kept, *added])
 
+    added = ["lang_pred", "score", *(["evidence"] if evidence else [])]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.mapInArrow(rows, f"{ddl}, lang_pred string, score double")
+    return docs.mapInArrow(rows, f"{ddl}, lang_pred string, score double" + ", evidence double" * evidence)
+
+
+def in_learned_language(docs: DataFrame) -> DataFrame:
+    """``docs`` without the texts that have no letter or less evidence than the model's bound. The
+    scores cannot tell these: they add up to 1 however little a text shares with any landmark. Their
+    margin is not asked either, so a text that mixes learned languages stays."""
+    model = fit(docs.select("doc_id", "text", "lang"))
+    scored = predict(docs, model, evidence=True)
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("evidence") >= (model.bound if model is not None else 0.0))
+    return scored.filter(known).select(*docs.columns)
 
 
 def identify(docs: DataFrame) -> DataFrame:
