@@ -119,6 +119,13 @@ def frequent_grams(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarra
     return grams[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
+def set_key(g: np.ndarray) -> tuple[int, int]:
+    """128-bit key of a set of grams (empty: zeros)."""
+    if not len(g):
+        return 0, 0
+    return int(np.add.reduce(mix(g ^ np.uint64(1))).view(np.int64)), int(np.add.reduce(mix(g ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
+
+
 def gram_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, d, n, k1, k2 (128-bit key of the set), prefix (its short lists), sketch."""
     hot, freq = frequent_grams(docs, shingle)
@@ -134,8 +141,9 @@ def gram_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                     weight = np.where(hot[at] == g, freq[at], 0)
                 short = np.lexsort((g, weight))[: prefix_length(len(g), percent) if len(g) else 0]
                 out["n"].append(len(g))
-                out["k1"].append(int(np.add.reduce(mix(g ^ np.uint64(1))).view(np.int64)) if len(g) else 0)
-                out["k2"].append(int(np.add.reduce(mix(g ^ np.uint64(0x9E3779B97F4A7C15))).view(np.int64)) if len(g) else 0)
+                k1, k2 = set_key(g)
+                out["k1"].append(k1)
+                out["k2"].append(k2)
                 out["prefix"].append(g[short].view(np.int64))
                 out["sketch"].append(parity_sketch(g, percent) if len(g) else b"")
             yield pa.RecordBatch.from_arrays(
@@ -322,6 +330,11 @@ def _other_candidates(lists: DataFrame, nodes: DataFrame, comp: DataFrame, perce
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_size (rows with
     the same set), for documents whose ``shingle``-word sets reach ``percent`` % Jaccard."""
+    return _components(docs, shingle, percent, [])
+
+
+def _components(docs: DataFrame, shingle: int, percent: int, extra: list[str]) -> DataFrame:
+    """``jaccard_components`` with ``extra`` of: k1, k2 (key of the row's set), root (of its component)."""
     sets = gram_sets(docs, shingle, percent)
     d = F.coalesce("doc_id", F.lit(_NULL))
     classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size"))
@@ -339,23 +352,47 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         comp = connected(comp.toDF("a", "b").unionByName(more))
     member = nodes.select("uid", "first_id").join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = member.join(lowest, "root").select("uid", "component_id").join(classes.select("uid", "k1", "k2", "class_size"), "uid")
+    of = member.join(lowest, "root").select("uid", "component_id", "root").join(classes.select("uid", "k1", "k2", "class_size"), "uid")
     out = sets.filter("n > 0").select("doc_id", "n", "k1", "k2").join(of, ["k1", "k2"])
-    alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
-    out = stage(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size").unionByName(alone), "components")
+    alone = sets.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "class_size": F.lit(1).cast("long"), "root": F.col("uid")})
+    shown = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", *extra]
+    out = stage(out.select(*shown).unionByName(alone.select(*shown)), "components")
     unstage(sets, classes, nodes, lists, first, rest)
     return out
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without near duplicates: of each component the document of the smallest id stays
-    (one row of it, if it is repeated); documents without words or without an id stay."""
-    comp = jaccard_components(docs, shingle, percent)
+    (one row of it, if it is repeated; of rows of that id with other sets, the one of the smallest
+    set key); documents without words or without an id stay."""
+    comp = _components(docs, shingle, percent, ["k1", "k2", "root"])
     stays = comp.filter(F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     stays = broadcast_if_small(stage(stays, "stays"), BROADCAST_ROWS)
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_keep"]), "left_semi")
-    repeated = comp.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    once = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.filter("doc_id is null"))
+    by_id = docs["doc_id"].eqNullSafe(stays["_keep"])
+    repeated = comp.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_repeated"))
+    repeated = stage(repeated, "repeated-ids")
+    if not repeated.limit(1).count():
+        return docs.join(stays, by_id, "left_semi")
+    once = docs.join(repeated, docs["doc_id"] == repeated["_repeated"], "left_anti").join(stays, by_id, "left_semi")
+    # rows of a repeated id may lie in several components, so they are told apart by their sets
+    first = comp.filter("n_shingles > 0 and doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("s"))
+    first = stage(first.select(F.col("s.doc_id").alias("_id"), F.col("s.k1").alias("_f1"), F.col("s.k2").alias("_f2")), "first-rows")
+    rows = _with_key(docs.join(repeated, docs["doc_id"] == repeated["_repeated"], "left_semi"), shingle)
+    same = (rows["doc_id"] == first["_id"]) & (rows["_k1"] == first["_f1"]) & (rows["_k2"] == first["_f2"])
+    kept = rows.filter("_n > 0").join(first, same, "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]).unionByName(rows.filter("_n = 0"))
+    return once.unionByName(kept.select(*docs.columns))
+
+
+def _with_key(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` plus _n, _k1 and _k2 of each row's set."""
+    kept, schema = docs.columns, docs.schema
+
+    def rows(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(kept.index("text"))]
+            keys = [set_key(g) for g in sets]
+            made = [[len(g) for g in sets], [k[0] for k in keys], [k[1] for k in keys]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in made)], [*kept, "_n", "_k1", "_k2"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return docs.mapInArrow(rows, f"{ddl}, _n long, _k1 long, _k2 long")

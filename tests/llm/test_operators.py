@@ -100,6 +100,18 @@ def test_ngram_join_keeps_one_of_each_group(docs):
     assert kept.columns == docs.columns
 
 
+def test_ngram_join_keeps_rows_of_one_id_with_other_texts(spark):
+    rng = random.Random(8)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    rows = [(1, one), (1, two), (1, two), (2, one + " tail"), (3, two + " tail"), (4, three), (5, three), (6, None), (6, " "), (None, one)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, one), (1, two), (4, three), (6, None), (6, " "), (None, one)])
+    rows = [(5, one), (5, two), (2, two + " tail")]  # the second row of 5 is a copy of 2, the first is not
+    for order in (rows, rows[::-1]):
+        kept = ngram_join.keep_one(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, kept)) == [(2, two + " tail"), (5, one)]
+
+
 def test_search_finds_all_sets_that_reach_the_overlap():
     rng = np.random.default_rng(5)
     q = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
