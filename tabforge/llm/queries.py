@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_prefix, hilbert_pack, html_density, iblt, line_templates, ngram_join, quality_cascade, rank_bpe, string_kernel, token_parquet
+from . import chat_prefix, fm_index, hilbert_pack, html_density, iblt, jacobi_davidson, line_templates, ngram_join, quality_cascade, rank_bpe, string_kernel, token_parquet
 from .common import table
 
 #: A conversation whose texts are control strings, added to op7's input.
@@ -63,6 +63,14 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_parquet.id_digests(token_parquet.read_tokens(spark, out))
 
 
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jacobi_davidson.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard,
     "op2_line_templates": line_dedup,
@@ -74,6 +82,8 @@ QUERIES = {
     "op8_string_kernel_language": language,
     "op9_rank_array_bpe": bpe,
     "op10_token_parquet": token_files,
+    "op12_fm_index_leaks": leaks,
+    "op13_jacobi_davidson_whitening": whitening,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -150,4 +160,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM u GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op2_line_templates": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op7_prefix_target_chat": OP7_SQL}
+OP12_SQL = r"""
+WITH words AS (
+  SELECT 0 AS kind, row_number() OVER () AS uid, doc_id, '' AS item, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+  UNION ALL
+  SELECT 1, row_number() OVER (), null, coalesce(item_id::VARCHAR, ''), regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark)),
+phrases AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM words WHERE kind = 1 AND len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM phrases),
+hits AS (
+  SELECT d.uid, d.i, p.k, p.item
+  FROM (SELECT uid, i, k, array_to_string(w[i : i + k - 1], ' ') AS g
+        FROM (SELECT uid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, sizes WHERE kind = 0 AND len(w) >= k)) d
+  JOIN phrases p ON p.g = d.g AND p.k = d.k),
+covered AS (SELECT uid, count(DISTINCT at) AS n FROM (SELECT uid, unnest(range(i, i + k)) AS at FROM (SELECT DISTINCT uid, i, k FROM hits)) GROUP BY uid),
+named AS (SELECT uid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT uid, item FROM hits) GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (uid) LEFT JOIN named USING (uid) WHERE kind = 0
+"""
+
+ORACLE_SQL = {"op12_fm_index_leaks": OP12_SQL, "op2_line_templates": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op7_prefix_target_chat": OP7_SQL}
