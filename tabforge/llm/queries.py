@@ -176,7 +176,7 @@ hits AS (
   FROM (SELECT uid, i, k, array_to_string(w[i : i + k - 1], ' ') AS g
         FROM (SELECT uid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, sizes WHERE kind = 0 AND len(w) >= k)) d
   JOIN phrases p ON p.g = d.g AND p.k = d.k),
-covered AS (SELECT uid, count(DISTINCT at) AS n FROM (SELECT uid, unnest(range(i, i + k)) AS at FROM (SELECT DISTINCT uid, i, k FROM hits)) GROUP BY uid),
+covered AS (SELECT uid, count(DISTINCT pos) AS n FROM (SELECT uid, unnest(range(i, i + k)) AS pos FROM (SELECT DISTINCT uid, i, k FROM hits)) GROUP BY uid),
 named AS (SELECT uid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT uid, item FROM hits) GROUP BY uid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
