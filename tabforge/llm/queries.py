@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_prefix, fm_index, hilbert_pack, html_density, iblt, jacobi_davidson, line_templates, ngram_join, quality_cascade, rank_bpe, string_kernel, token_parquet
+from . import chat_prefix, fm_index, hilbert_pack, html_density, iblt, jacobi_davidson, line_templates, ngram_join, prefix_trie, quality_cascade, rank_bpe, string_kernel, token_parquet
 from .common import table
 
 #: A conversation whose texts are control strings, added to op7's input.
@@ -63,6 +63,10 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_parquet.id_digests(token_parquet.read_tokens(spark, out))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_string_kernel_language": language,
     "op9_rank_array_bpe": bpe,
     "op10_token_parquet": token_files,
+    "op11_prefix_trie": conversation_trie,
     "op12_fm_index_leaks": leaks,
     "op13_jacobi_davidson_whitening": whitening,
 }
@@ -160,6 +165,32 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM u GROUP BY conv_id
 """
 
+# crc32 byte by byte: a byte is mixed in, then eight shifts (marked -1)
+OP11_SQL = r"""
+WITH own AS (
+  SELECT conv_id AS c, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (
+  SELECT c, s, c - c % 100 AS p, xor(list_reduce(
+      list_prepend(4294967295, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+  FROM own),
+seqs AS (SELECT a.c, list_concat(coalesce(list_slice(d.s, 1, a.h), []), list_slice(a.s, a.h + 1, len(a.s))) AS s FROM crc a LEFT JOIN own d ON d.c = a.p),
+paths AS (SELECT c, len(s) AS n, d, list_slice(s, 1, d) AS path FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+nodes AS (
+  SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d) AS ends,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(path[d].text) END AS saved
+  FROM paths GROUP BY d, path),
+kids AS (SELECT d - 1 AS d, list_slice(path, 1, d - 1) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT x.*, coalesce(k.n, 0) AS n_children FROM nodes x LEFT JOIN kids k ON k.d = x.d AND k.path = x.path),
+under AS (
+  SELECT a AS d, list_slice(path, 1, a) AS path, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM (SELECT path, saved, n_children, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY ALL)
+SELECT x.conv_id, x.d::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+  u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM full_nodes x JOIN under u ON u.d = x.d AND u.path = x.path LEFT JOIN nodes p ON p.d = x.d - 1 AND p.path = list_slice(x.path, 1, x.d - 1)
+"""
+
 OP12_SQL = r"""
 WITH words AS (
   SELECT 0 AS kind, row_number() OVER () AS uid, doc_id, '' AS item, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -183,4 +214,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hi
 FROM words LEFT JOIN covered USING (uid) LEFT JOIN named USING (uid) WHERE kind = 0
 """
 
-ORACLE_SQL = {"op12_fm_index_leaks": OP12_SQL, "op2_line_templates": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op7_prefix_target_chat": OP7_SQL}
+ORACLE_SQL = {"op11_prefix_trie": OP11_SQL, "op12_fm_index_leaks": OP12_SQL, "op2_line_templates": OP2_SQL, "op3_quality_cascade": OP3_SQL, "op7_prefix_target_chat": OP7_SQL}
