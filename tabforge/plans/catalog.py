@@ -53,6 +53,7 @@ def load_all() -> dict[str, QuerySpec]:
         q_blend,
         q_text,
         q_closed,
+        q_solve,
         q_models,
     )
 
