@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -19,14 +20,20 @@ _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
 class _Cache(dict):
+    """Values by key, made when first asked for. When ``most`` are held they become the older half,
+    from which those still in use come back; the rest go with the next change."""
+
     def __init__(self, make, most):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most // 2, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -40,9 +47,9 @@ def byte_letters() -> dict[int, str]:
 
 
 class TextEncoder:
-    """``dtype`` is the type of the ids in the bytes that ``encode`` returns."""
+    """``encode`` returns the ids as little-endian 32-bit numbers."""
 
-    def __init__(self, path: str, dtype: str = "<u4", cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -51,7 +58,6 @@ class TextEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.dtype = dtype
         with open(path, encoding="utf-8") as f:
             cfg = json.load(f)
         self.special = [t["content"] for t in cfg["added_tokens"]]
@@ -64,16 +70,22 @@ class TextEncoder:
         self.chunks = _Cache(self._chunk, cache)
 
     def _word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
+        if word.isascii() and "\n" not in word:  # its bytes stand for themselves, but for the blank
+            mapped = word.replace(" ", self.letters[32])
+        else:
+            mapped = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(chunk.lower() if self.by_word else chunk)))
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one piece by either pattern
+            return self.words[chunk]
+        return b"".join(map(self.words.__getitem__, self.split(chunk)))
 
     def encode(self, text: str) -> bytes:
         if _OTHER.search(text) or any(s in text for s in self.special):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        parts = [x for x in text.replace("\n", " ").split(" ") if x] if self.by_word else _CHUNK.findall(text)
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = [x for x in text.lower().replace("\n", " ").split(" ") if x] if self.by_word else _CHUNK.findall(text)
         return b"".join(map(self.chunks.__getitem__, parts))
 
 
