@@ -49,7 +49,7 @@ def byte_letters() -> dict[int, str]:
 class TextEncoder:
     """``encode`` returns the ids as little-endian 32-bit numbers."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 600_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -66,8 +66,7 @@ class TextEncoder:
         self.split = regex.compile(pattern).findall
         self.letters = byte_letters()
         self.model = self.tok.model
-        self.words = _Cache(self._word, cache)
-        self.chunks = _Cache(self._chunk, cache)
+        self.ids = _Cache(self._ids, cache)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and "\n" not in word:  # its bytes stand for themselves, but for the blank
@@ -77,16 +76,17 @@ class TextEncoder:
         ids = [t.id for t in self.model.tokenize(mapped)]
         return pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _ids(self, chunk: str) -> bytes:
         if (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one piece by either pattern
-            return self.words[chunk]
-        return b"".join(map(self.words.__getitem__, self.split(chunk)))
+            return self._word(chunk)
+        pieces = self.split(chunk)
+        return self._word(chunk) if len(pieces) == 1 else b"".join(map(self.ids.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         if _OTHER.search(text) or any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = [x for x in text.lower().replace("\n", " ").split(" ") if x] if self.by_word else _CHUNK.findall(text)
-        return b"".join(map(self.chunks.__getitem__, parts))
+        # the only white space of a plain text is the blank and the line end
+        return b"".join(map(self.ids.__getitem__, text.lower().split() if self.by_word else _CHUNK.findall(text)))
 
 
 @lru_cache(maxsize=2)
