@@ -62,6 +62,22 @@ BASE_PARAMS = {
 }
 
 
+#: The same four as histogram boosters (penalties and least rows as the reference sets them), and
+#: the three boosters of the tournament.
+BASE_BOOST = {
+    "gbt_a": {"rounds": 500, "depth": 6, "rate": 0.05, "l2": 1.0, "rows": 0.8, "cols": 0.7, "min_rows": 3, "min_gain": 0.1},
+    "gbt_b": {"rounds": 500, "depth": 6, "rate": 0.05, "l2": 0.5, "rows": 0.8, "cols": 0.7, "min_rows": 20},
+    "gbm": {"rounds": 300, "depth": 5, "rate": 0.05, "l2": 0.0, "rows": 0.8},
+    "cat": {"rounds": 500, "depth": 6, "rate": 0.05, "l2": 3.0},
+}
+TOURNAMENT_BOOST = {
+    "gbt_a": {"rounds": 400, "depth": 6, "rate": 0.05, "rows": 0.8, "cols": 0.8, "min_rows": 3, "min_gain": 0.1},
+    "gbt_b": {"rounds": 400, "depth": 6, "rate": 0.05, "rows": 0.8, "cols": 0.8, "min_rows": 20},
+    "gbm": {"rounds": 300, "depth": 5, "rate": 0.05, "l2": 0.0, "rows": 0.8},
+}
+TOURNAMENT_FOREST = {"n_estimators": 300, "max_depth": None}
+
+
 def to_mllib(params: dict, family: str) -> dict:
     """Common booster parameter names to MLlib ones for a model family. Unknown names and depths
     beyond MLlib's limit raise; ``max_depth=None`` is that limit."""
@@ -228,16 +244,38 @@ def model_tournament(candidates: list[tuple[str, Callable]], data: ModelData, k:
     return res.withColumn("is_best", (F.col("model") == F.lit(best)).cast("int") if best else F.lit(0))
 
 
+def learner_tournament(candidates: list[tuple[str, object]], data: ModelData, k: int) -> DataFrame:
+    """M6 for learners of the shared protocol (boosters in lock-step): one row per candidate as in
+    ``model_tournament``; if all fail, no row is best."""
+    from tabforge.plans.tuning import cv_scores
+
+    scores, failed = cv_scores(candidates, data.train, data.task, data.n_classes, k)
+    rows = []
+    for rank, (name, _) in enumerate(candidates):
+        sc = scores.get(name)
+        if sc is None:
+            rows.append((name, rank, None, None, None, failed[name], 0))
+            continue
+        mean = sum(sc) / len(sc)
+        std = math.sqrt(sum((s - mean) ** 2 for s in sc) / len(sc))
+        rows.append((name, rank, round(mean, 5), round(std, 5), ",".join(f"{s:.5f}" for s in sc), None, 0))
+    ok = [r for r in rows if r[2] is not None]
+    best = sorted(ok, key=lambda r: (-r[2], r[1]))[0][0] if ok else None
+    out = [(*r[:6], int(r[0] == best)) for r in rows]
+    return data.train.sparkSession.createDataFrame(out, "model string, candidate_rank int, cv_mean double, cv_std double, cv_scores string, error string, is_best int")
+
+
 def quick_cv(data: ModelData, k: int = 3, rounds: int = 100, depth: int = 5) -> tuple[float | None, str | None]:
-    """M5: (k-fold score of a small booster, error) to compare feature sets (forest for
-    multi-class); a failed run gives no score (ranked last), never 0, and its whole error text."""
-    fam = "forest" if data.task == MULTICLASS else "gbt"
-    params = {"n_estimators": rounds, "max_depth": depth, "learning_rate": 0.1}
-    try:
-        sc = cross_validate(lambda: make_estimator(fam, data.task, params), data, k)
-        return sum(sc) / len(sc), None
-    except Exception as e:  # noqa: BLE001 - reported, not hidden
-        return None, f"{type(e).__name__}: {e}"
+    """M5: (k-fold score of a small booster, error) to compare feature sets, on folds of its own. A
+    failed run gives no score (ranked last), never 0, and its whole error text."""
+    from tabforge.operators.folds import assign_folds, assign_stratified_folds
+    from tabforge.plans.boost import HistBoost
+    from tabforge.plans.tuning import cv_scores
+
+    rows = data.train.drop("fold")
+    rows = cut_lineage(assign_folds(rows, k, "id") if data.task == REGRESSION else assign_stratified_folds(rows, k, "id", "label"))
+    scores, failed = cv_scores([("small", HistBoost(rounds=rounds, depth=depth, rate=0.1))], rows, data.task, data.n_classes, k)
+    return (sum(scores["small"]) / len(scores["small"]), None) if "small" in scores else (None, failed["small"])
 
 
 # ----------------------------------------------------------------------------- M7/M8

@@ -1,9 +1,9 @@
 """Queries for CV, models, tuning and stacking.
 
-Model fits have no SQL twin, so these are row-count checks here and are tested
-against brute force / planted signal in ``tests/``. The registered queries use a
-reduced number of boosting rounds and trees (``QUICK`` times the defaults of
-``models.BASE_PARAMS``); rows are never reduced.
+The boosters run at the reference's rounds (``models.BASE_BOOST``, ``models.TOURNAMENT_BOOST``, the
+small booster of ``quick_cv``), all folds and learners in lock-step. Boosters and forests have no
+SQL twin: ``tests/test_boost.py`` holds them against a plain version, and ``q_closed`` and
+``q_solve`` check the same paths with learners that SQL can state. Rows are never reduced.
 """
 
 from __future__ import annotations
@@ -19,13 +19,17 @@ from tabforge.operators.features import keep_if_better
 from tabforge.operators.folds import assign_folds, assign_stratified_folds
 from tabforge.operators.infer import BINARY, MULTICLASS, REGRESSION, label_table
 from tabforge.plans import fixtures as X
+from tabforge.plans import learners as L
 from tabforge.plans import models as M
+from tabforge.plans import solve as S
+from tabforge.plans import tuning as T
+from tabforge.plans.boost import HistBoost, fit_boosters
 from tabforge.plans.catalog import register
 
 K = X.K
-QUICK = 0.04  # 500 rounds -> 20
-QUICK_GBT = {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1}
-QUICK_FOREST = {"n_estimators": 20, "max_depth": 6}
+FOREST = M.BASE_PARAMS["forest"]
+#: The small booster of feature comparisons (M5).
+SMALL = HistBoost(rounds=100, depth=5, rate=0.1)
 
 
 def doc_frame(spark, d):
@@ -72,23 +76,20 @@ def _finish(df, *datas):
     return out
 
 
-def _gbt():
-    return M.make_estimator("gbt", BINARY, QUICK_GBT)
-
-
 @register("fit_score", "M3")
 def q_fit_score(spark, d):
     data = doc_data(spark, d)
-    _, scored = M.fit_score(_gbt, data, 0)
-    return _finish(scored.select("id", "fold", vector_to_array("probability")[1].alias("score"), "prediction"), data)
+    models = SMALL.fit_folds(data.train, BINARY, 2, K)
+    scored = models.held_out(data.train.where("fold = 0"))
+    return _finish(scored.select("id", "fold", "score", (F.col("score") >= 0.5).cast("double").alias("prediction")), data)
 
 
 @register("cross_validate", "M4 A6")
 def q_cross_validate(spark, d):
     data = doc_data(spark, d)
-    scores = M.cross_validate(_gbt, data, K)
+    scores, _ = T.cv_scores([("gbt", SMALL)], data.train, BINARY, 2, K)
     data.release()
-    return spark.createDataFrame([("gbt", i, float(s)) for i, s in enumerate(scores)], "model string, fold int, score double")
+    return spark.createDataFrame([("gbt", i, float(s)) for i, s in enumerate(scores["gbt"])], "model string, fold int, score double")
 
 
 @register("quick_cv", "M5")
@@ -101,21 +102,20 @@ def q_quick_cv(spark, d):
 
 @register("model_tournament", "M6")
 def q_model_tournament(spark, d):
+    """The reference's four candidates: three boosters in lock-step and a deep forest."""
     data = doc_data(spark, d)
-    cands = [
-        ("gbt", _gbt),
-        ("forest", lambda: M.make_estimator("forest", BINARY, QUICK_FOREST)),
-        ("logistic", lambda: M.make_estimator("logistic", BINARY)),
-    ]
-    return _finish(M.model_tournament(cands, data, K), data)
+    boosters = [(name, HistBoost(**p)) for name, p in M.TOURNAMENT_BOOST.items()]
+    forest = L.MllibLearner(lambda: M.make_estimator("forest", BINARY, M.TOURNAMENT_FOREST))
+    return _finish(M.learner_tournament([*boosters, ("forest", forest)], data, K), data)
 
 
 @register("oof_predict", "M7")
 def q_oof_predict(spark, d):
     data = doc_data(spark, d)
-    oof, te = M.oof_predict("gbt", _gbt, data, K)
-    both = oof.withColumn("split", F.lit("train")).unionByName(te.withColumn("fold", F.lit(None).cast("int")).withColumn("split", F.lit("test")))
-    return _finish(both, data)
+    models = SMALL.fit_folds(data.train, BINARY, 2, K)
+    oof = models.held_out(data.train).select("id", "fold", F.lit("gbt").alias("model"), "score", F.lit("train").alias("split"))
+    te = models.mean(data.test).select("id", F.lit(None).cast("int").alias("fold"), F.lit("gbt").alias("model"), "score", F.lit("test").alias("split"))
+    return _finish(oof.unionByName(te), data)
 
 
 def emb_data(spark, d):
@@ -141,14 +141,18 @@ def q_oof_multiclass(spark, d):
 
 @register("base_models", "M9")
 def q_base_models(spark, d):
+    """Accuracy on the training rows (model of all rows) and out of fold of the four base learners."""
     data = doc_data(spark, d)
-    rows = []
-    for name, factory in M.base_models(BINARY, QUICK):
-        model = factory().fit(data.train)
-        acc = model.transform(data.train).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        rows.append((name, type(model).__name__, float(acc)))
+    learners = S.default_learners(BINARY)
+    models = fit_boosters([x for _, x in learners], data.train, BINARY, 2, K)
+    scored = data.train
+    for (name, _), m in zip(learners, models, strict=True):
+        scored = m.refit(m.held_out(scored, f"{name}_oof"), f"{name}_fit")
+    hit = lambda c: F.avg(((F.col(c) >= 0.5).cast("int") == F.col("label")).cast("double"))
+    r = scored.agg(*[hit(f"{name}_{how}").alias(f"{name}_{how}") for name, _ in learners for how in ("fit", "oof")]).first()
     data.release()
-    return spark.createDataFrame(rows, "model string, fitted string, train_accuracy double")
+    rows = [(name, x.rounds, r[f"{name}_fit"], r[f"{name}_oof"]) for name, x in learners]
+    return spark.createDataFrame(rows, "model string, rounds int, train_accuracy double, oof_accuracy double")
 
 
 def _pseudo_stack(spark, d):
@@ -190,35 +194,28 @@ def order_reg(spark, d):
 
 @register("stacking", "M12 J6 M7 M9 M10 D1 D3 D5 I2 I3")
 def q_stacking(spark, d):
-    data = doc_data(spark, d)
-    labels = label_table(X.table(spark, d, "labels"), "quality")
-    models = [
-        ("gbt_a", _gbt),
-        ("forest", lambda: M.make_estimator("forest", BINARY, QUICK_FOREST)),
-        ("logistic", lambda: M.make_estimator("logistic", BINARY)),
-    ]
-    res = M.stack(data, K, labels=labels, models=models)
-    return _finish(res.predictions)
+    """The whole plan with the four default learners on all documents' features."""
+    base, lab = doc_frame(spark, d), X.table(spark, d, "labels").select("doc_id", "quality")
+    plan = S.fit_plan(base.join(lab, "doc_id"), "doc_id", "quality", ["lang", "source", "n_chars", "n_words", "n_lines"], k=K)
+    return _finish(plan.apply(base.join(lab, "doc_id", "left_anti")).select("id", "prediction"))
 
 
-@register("stacking_regression", "M12 M11")
+@register("stacking_regression", "M12 M11 M9")
 def q_stacking_regression(spark, d):
     o = order_reg(spark, d)
-    train, test = o.where("fold <> 0").drop("fold"), o.where("fold = 0").drop("fold")
-    train = assign_folds(train, K, "o_orderkey")
     feats = ["n_lines", "sum_qty", "avg_price", "o_orderpriority", "o_orderstatus"]
-    data = M.prepare_model_data(train, test, "o_orderkey", "o_totalprice", "fold", feats, REGRESSION)
-    models = [
-        ("gbt_a", lambda: M.make_estimator("gbt", REGRESSION, QUICK_GBT)),
-        ("linear", lambda: M.make_estimator("linear", REGRESSION)),
-    ]
-    return _finish(M.stack(data, K, models=models).predictions)
+    train, test = o.where("fold <> 0"), o.where("fold = 0")
+    plan = S.fit_plan(train, "o_orderkey", "o_totalprice", feats, k=K, kind=REGRESSION)
+    return _finish(plan.apply(test).select("id", "prediction"))
 
 
 @register("tune", "M13")
 def q_tune(spark, d):
-    data = doc_data(spark, d)
-    return _finish(M.tune("forest", data, K, n_trials=4, scale=QUICK), data)
+    """100 trials of the counted learner; the trial table, stored (checkpointed)."""
+    train = X.train_docs(spark, d).select("doc_id", "lang", "source", "n_chars", "quality")
+    task = S.fit_task(train, "doc_id", "quality", ["lang", "source", "n_chars"], K, S.Engineer())
+    space = {"bins": (2, 64, "int"), "add": (0.01, 30.0, "log")}
+    return _finish(T.tune(lambda p: L.CountedBayes(int(p["bins"]), p["add"]), space, task.rows, BINARY, 2, K, n_trials=100))
 
 
 @register("fit_final", "M14 I3")
@@ -226,7 +223,7 @@ def q_fit_final(spark, d):
     from tabforge.operators.infer import decode_predictions
 
     data = doc_data(spark, d)
-    pred = M.fit_final("forest", QUICK_FOREST, data)
+    pred = M.fit_final("forest", FOREST, data)
     labels = label_table(X.table(spark, d, "labels"), "quality")
     return _finish(decode_predictions(pred, "code", labels, "prediction").select("id", "prediction"), data)
 
@@ -235,7 +232,7 @@ def q_fit_final(spark, d):
 def q_threshold_solve(spark, d):
     data = doc_data(spark, d)
     labels = label_table(X.table(spark, d, "labels"), "quality")
-    pred, t, acc = M.threshold_solve("forest", QUICK_FOREST, data, K, labels)
+    pred, t, acc = M.threshold_solve("forest", FOREST, data, K, labels)
     return _finish(pred.withColumn("threshold", F.lit(t)).withColumn("oof_accuracy", F.lit(acc)), data)
 
 
@@ -243,7 +240,7 @@ def q_threshold_solve(spark, d):
 def q_keep_if_better(spark, d):
     base = doc_data(spark, d, feats=("lang", "n_chars"), target_encode=False)
     rich = doc_data(spark, d)
-    rows = [("baseline", M.quick_cv(base, 3, 20)[0], True), ("text_counts", M.quick_cv(rich, 3, 20)[0], False)]
+    rows = [("baseline", M.quick_cv(base)[0], True), ("text_counts", M.quick_cv(rich)[0], False)]
     base.release()
     rich.release()
     return keep_if_better(spark.createDataFrame(rows, "name string, score double, is_baseline boolean"))

@@ -28,6 +28,7 @@ from tabforge.operators.folds import assign_folds, assign_stratified_folds
 from tabforge.operators.infer import BINARY, HIGH_CARD, MULTICLASS, REGRESSION, decode_predictions, detect_task, encode_target, high_cardinality_columns, label_table
 from tabforge.plans import learners as L
 from tabforge.plans import models as M
+from tabforge.plans.boost import HistBoost, fit_boosters
 from tabforge.roles import align_columns, resolve_roles, string_columns
 from tabforge.session import cut_lineage, fitted_table
 from tabforge.sources.io import write_predictions
@@ -114,8 +115,26 @@ def fit_task(train: DataFrame, id_col: str, target_col: str, columns: list[str],
 
 
 def default_learners(kind: str) -> list[tuple[str, object]]:
-    """The four base learners (M9) as MLlib estimators at the reference's rounds."""
-    return [(name, L.MllibLearner(factory)) for name, factory in M.base_models(kind)]
+    """The four base learners (M9) at the reference's rounds."""
+    return [(name, HistBoost(**params)) for name, params in M.BASE_BOOST.items()]
+
+
+def fit_learners(learners: list[tuple[str, object]], rows: DataFrame, kind: str, n_classes: int, k: int) -> tuple[list[tuple[str, L.FoldModels]], dict[str, str]]:
+    """(name, fold models) of the learners that fit, and the errors of the others. Boosters cut
+    alike go in lock-step, so that several cost as many jobs as the longest."""
+    done, failed = {}, {}
+    groups: dict[object, list[tuple[str, object]]] = {}
+    for i, (name, learner) in enumerate(learners):
+        groups.setdefault((learner.bins, learner.cut) if isinstance(learner, HistBoost) else i, []).append((name, learner))
+    for group in groups.values():
+        try:
+            if isinstance(group[0][1], HistBoost):
+                done |= dict(zip([n for n, _ in group], fit_boosters([x for _, x in group], rows, kind, n_classes, k), strict=True))
+            else:
+                done[group[0][0]] = group[0][1].fit_folds(rows, kind, n_classes, k)
+        except Exception as e:  # noqa: BLE001 - a failing learner is left out and reported
+            failed |= {name: f"{type(e).__name__}: {e}" for name, _ in group}
+    return [(name, done[name]) for name, _ in learners if name in done], failed
 
 
 def default_meta(kind: str, n: int) -> object:
@@ -183,12 +202,7 @@ def fit_plan(
     """Fit the whole stack on a training table."""
     columns = columns if columns is not None else [c for c in train.columns if c not in (id_col, target_col)]
     task = fit_task(train, id_col, target_col, columns, k, engineer or Engineer(), encode_above, kind)
-    bases, failed = [], {}
-    for name, learner in learners or default_learners(task.kind):
-        try:
-            bases.append((name, learner.fit_folds(task.rows, task.kind, task.n_classes, k)))
-        except Exception as e:  # noqa: BLE001 - a failing learner is left out and reported
-            failed[name] = f"{type(e).__name__}: {e}"
+    bases, failed = fit_learners(learners or default_learners(task.kind), task.rows, task.kind, task.n_classes, k)
     if not bases:
         raise RuntimeError(f"all base learners failed: {failed}")
     stacked = cut_lineage(_stacked(task.rows, bases, task.kind, "held_out"))
