@@ -29,6 +29,8 @@ from .token_library import text_encoder
 
 LENGTH = 1024
 HASHED, DIMS, BITS = 256, 4, 15
+#: Documents projected at once.
+AT_ONCE = 512
 END_ID = 0
 _PROJECT = np.random.default_rng(7).standard_normal((HASHED, DIMS)).astype(np.float32)
 
@@ -41,11 +43,18 @@ def _hashed(vocab: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(48)) % np.uint64(HASHED)).astype(np.int64), sign
 
 
-def project(ids: np.ndarray, vocab: int) -> np.ndarray:
-    """Place of a document's token ids in ``DIMS`` dimensions."""
+def project(ids: np.ndarray, n_tokens: np.ndarray, vocab: int) -> np.ndarray:
+    """Places in ``DIMS`` dimensions of documents whose token ids follow each other."""
     place, sign = _hashed(vocab)
-    v = np.bincount(place[ids], weights=sign[ids], minlength=HASHED)
-    return (v / max(np.linalg.norm(v), 1e-9)).astype(np.float32) @ _PROJECT
+    out = np.empty((len(n_tokens), DIMS), np.float32)
+    ends = np.cumsum(n_tokens)
+    for lo in range(0, len(n_tokens), AT_ONCE):
+        n = n_tokens[lo : lo + AT_ONCE]
+        part = ids[ends[lo] - n[0] : ends[lo + len(n) - 1]]
+        cell = place[part] + np.repeat(np.arange(len(n)) * HASHED, n)
+        v = np.bincount(cell, weights=sign[part], minlength=len(n) * HASHED).reshape(len(n), HASHED)
+        out[lo : lo + len(n)] = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32) @ _PROJECT
+    return out
 
 
 def hilbert_keys(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -86,14 +95,11 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         vocab = enc.tok.get_vocab_size()
         small = np.uint16 if vocab <= 1 << 16 else np.uint32
         for b in batches:
-            ids, n, places = [], [], []
-            for t in b.column(1):
-                got = np.append(np.frombuffer(enc.encode(t.as_py() or ""), "<u4"), np.uint32(end_id))
-                ids.append(got.astype(small).tobytes())
-                n.append(len(got))
-                places.append(project(got, vocab))
-            p = np.array(places, np.float64).reshape(-1, DIMS)
-            cols = [b.column(0), pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(DIMS)], pa.array(ids, pa.binary())]
+            ids, n = enc.encode_batch(b.column(1), end_id)
+            p = project(ids, n, vocab).astype(np.float64)
+            at = np.concatenate([[0], np.cumsum(n)]) * np.dtype(small).itemsize
+            raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype(small))])
+            cols = [b.column(0), pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(DIMS)], raw.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", *xs, "ids"])
 
     d = docs.select("doc_id", "text")

@@ -17,6 +17,8 @@ import numpy as np
 
 _OTHER = re.compile("[^\x20-\x7e\n¡-ɏ]")
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: White space of two or more characters belongs to other chunks than a single blank.
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
 class _Cache(dict):
@@ -66,7 +68,7 @@ class TextEncoder:
         self.split = regex.compile(pattern).findall
         self.letters = byte_letters()
         self.model = self.tok.model
-        self.ids = _Cache(self._ids, cache)
+        self.ids, self.after = _Cache(self._ids, cache if self.by_word else cache // 6), _Cache(self._after, cache // 6 * 5)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and "\n" not in word:  # its bytes stand for themselves, but for the blank
@@ -80,13 +82,31 @@ class TextEncoder:
         if (chunk[1:] if chunk[0] == " " else chunk).isalpha():  # one piece by either pattern
             return self._word(chunk)
         pieces = self.split(chunk)
-        return self._word(chunk) if len(pieces) == 1 else b"".join(map(self.ids.__getitem__, pieces))
+        if len(pieces) == 1:
+            return self._word(chunk)
+        return b"".join([self.after[p[1:]] if p[0] == " " and len(p) > 1 and not self.by_word else self.ids[p] for p in pieces])
 
     def encode(self, text: str) -> bytes:
         if _OTHER.search(text) or any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # the only white space of a plain text is the blank and the line end
-        return b"".join(map(self.ids.__getitem__, text.lower().split() if self.by_word else _CHUNK.findall(text)))
+        if self.by_word:
+            return b"".join(map(self.ids.__getitem__, text.lower().split()))
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(p in text for p in _PAIRS):
+            return b"".join(map(self.ids.__getitem__, _CHUNK.findall(text)))
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.ids[first] + b"".join(map(self.after.__getitem__, rest))
+
+    def _after(self, chunk: str) -> bytes:
+        """Ids of a chunk that follows a line end (its first character) or else a blank."""
+        return self._ids(chunk if chunk[0] == "\n" else " " + chunk)
+
+    def encode_batch(self, texts, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) one after the other, each followed by ``end``, and the
+        number of ids of each text."""
+        tail = pack("<I", end)
+        coded = [self.encode(t.as_py() or "") + tail for t in texts]
+        return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
 
 
 @lru_cache(maxsize=2)

@@ -55,11 +55,10 @@ def write_tokens(
     def rows(batches):
         enc, at = text_encoder(path), 0
         for b in batches:
-            ids = [np.append(np.frombuffer(enc.encode(t.as_py() or ""), "<u4"), np.uint32(end_id)).astype(np.int32) for t in b.column(1)]
-            n = np.array([len(x) for x in ids], np.int64)
+            ids, n = enc.encode_batch(b.column(1), end_id)
             ends = np.cumsum(n) + at
             at = int(ends[-1]) if len(ends) else at
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(ends - n), lists], ["doc_id", "n_tokens", "file_start", "ids"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -72,6 +71,7 @@ def write_tokens(
     d = d.withColumn("run", run).repartitionById(len(cuts) + 1, F.col("run")).sortWithinPartitions("run", F.asc_nulls_first("doc_id"), "text")
     made = d.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, file_start long, ids array<int>")
     w = made.write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES)
+    w = w.option("maxRecordsPerFile", 0)  # a file is a run: file_start counts from its first row
     w = w.option("parquet.page.size", PAGE_BYTES).option("parquet.dictionary.page.size", DICTIONARY_BYTES)
     w = w.option("parquet.writer.version", "v2" if encoding == "delta" else "v1").option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
     w.parquet(out)
