@@ -44,6 +44,14 @@ def broadcast_if_small(staged: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(staged) if staged.count() <= max_rows else staged
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column starts with, for columns that are added for a while."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def let(value, body):
     """``body(value)`` with ``value`` computed once per row (bound as a lambda variable)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,20 +5,22 @@ and link tags give its link-adjusted density; the children's densities add up to
 sum. The smallest density on the path from the body to the largest sum is the threshold; from the
 body down, every subtree that reaches it gives its node of the largest sum, and these are the
 content in page order, with what lies between those of one parent and the headings right before.
-Blocks inside that are mostly links and lie below the threshold go. Boilerplate elements (menus,
-headers, footers, asides, forms, adverts, notices, comments) are cut before, by tag and role; by
-class words only if no article, main or h1 element and not the bulk of the text goes with them. A
-content node inside an article or main element grows to that.
+Blocks inside that are mostly links and lie below the threshold go, unless they stand in an article
+or main element. Boilerplate elements (menus, headers, footers, asides, controls, adverts, notices,
+comments) are cut before, by tag and role; those that class words, a form or dialog element, or a
+hidden attribute name, only if no article, main or h1 element and not the bulk of the text goes with
+them. A content node inside an article or main element grows to that.
 
 Defined results: null or empty html, or a page without text, gives the empty string; broken markup
-is read as far as it goes (a tag cut off at the end of the page is dropped); repeated rows each get
-a row; extra columns are ignored.
+is read as far as it goes (a tag cut off at the end of the page, and a comment that is not closed,
+are dropped); repeated rows each get a row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,7 +28,9 @@ from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style noscript template iframe svg canvas object audio video math".split())
-BOILERPLATE = frozenset("nav footer aside form button select textarea dialog menu".split())
+BOILERPLATE = frozenset("nav footer aside button select textarea menu label datalist".split())
+#: Elements and roles that may wrap a whole page; cut like those named by class.
+WRAPPERS = frozenset("form dialog".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
     " h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -39,15 +43,15 @@ ENDS = {
 }
 NOT_IN_P = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "legend", "html", "body"}
 P_FENCE = frozenset("table td th caption button html".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog menu menubar".split())
 #: Words of a class or id that name boilerplate, as whole tokens or in a usual compound (``site-footer``, ``comment-list``).
 #: Other compounds (``no-sidebar``, ``elementor-widget``) name a layout.
 WORDS = re.compile(
-    r"(?:(?:site|page|main|top|bottom|global|primary|secondary|post|entry)[_-])?"
+    r"(?:(?:site|page|main|top|bottom|global|primary|secondary|post|entry)[_-]?)?"
     r"(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar"
     r"|side|footer|masthead|comments?|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe\w*|signup|login"
     r"|widget|toolbar|skip-link|pagination|pager|copyright)"
-    r"(?:[_-](?:list|links?|buttons?|bar|box|area|section|block|container|wrapper|banner|notice|form|menu|items?|posts?|icons?|slot|unit|primary|secondary|left|right|\d+))?"
+    r"(?:[_-]?(?:list|links?|buttons?|bar|box|area|section|block|container|wrapper|banner|notice|form|menu|items?|posts?|icons?|body|text|author|meta|thread|slot|unit|primary|secondary|left|right|\d+))?"
     r"|(?:site|page)-header",
     re.I,
 )
@@ -57,48 +61,63 @@ PARTS = frozenset("p h1 h2 h3 span b i em strong a li td tr tbody blockquote pre
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut", "named", "peak")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut", "named", "wrapper", "p", "peak")
 
-    def __init__(self, tag, parent, cut=False, named=False):
-        self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
+    def __init__(self, tag, parent, cut=False, named=False, wrapper=False):
+        self.tag, self.parent, self.cut, self.named, self.wrapper = tag, parent, cut, named or wrapper, wrapper
         self.items: list = []
+        #: The open paragraph that a block in here would end.
+        self.p = self if tag == "p" else None if parent is None or tag in P_FENCE else parent.p
 
 
 class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
+        self.open: Counter = Counter()
+
+    def _leave(self, node) -> None:
+        """Close all open elements up to ``node`` and it as well."""
+        n = self.at
+        while n is not node.parent:
+            self.open[n.tag] -= 1
+            n = n.parent
+        self.at = n
 
     def _close(self, tags, fence) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         n = self.at
         while n.parent is not None and n.tag not in fence:
             if n.tag in tags:
-                self.at = n.parent
+                self._leave(n)
                 return
             n = n.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag in NOT_IN_P:
-            self._close({"p"}, P_FENCE)
+        if tag in NOT_IN_P and self.at.p is not None:
+            self._leave(self.at.p)
         if tag in ENDS:
             self._close(*ENDS[tag])
-        if tag in ("html", "body") and any(c.tag == tag for c in self._path()):
+        if tag in ("html", "body") and self.open[tag]:
             return
         if tag == "body":
             self._close({"head"}, frozenset())
         a = {k: v or "" for k, v in attrs}
+        role = a.get("role", "").lower()
         named = any(WORDS.fullmatch(w) for w in f"{a.get('class', '')} {a.get('id', '')}".split())
-        cut = tag in HIDDEN or tag in BOILERPLATE or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-        cut = cut or (tag == "header" and not any(c.tag in ("article", "main") for c in self._path()))
-        node = Node(tag, self.at, cut, named)
+        wrapper = tag in WRAPPERS or role in WRAPPERS or "hidden" in a or a.get("aria-hidden") == "true"
+        cut = tag in HIDDEN or tag in BOILERPLATE or role in ROLES or (tag == "header" and not self.open["article"] and not self.open["main"])
+        node = Node(tag, self.at, cut, named, wrapper)
         self.at.items.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag and tag in ("svg", "path"):
-            self.at = self.at.parent
+            self._leave(self.at)
 
     def handle_endtag(self, tag):
         if tag not in VOID:
@@ -107,16 +126,20 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         self.at.items.append(data)
 
-    def _path(self):
-        n = self.at
-        while n is not None:
-            yield n
-            n = n.parent
+
+def _readable(html: str) -> str:
+    """``html`` without a comment that is never closed, and without a tag cut off at the end."""
+    at = html.find("<!--", max(html.rfind("-->"), html.rfind("--!>"), 0))
+    if at >= 0:
+        before = html[:at].lower()
+        script = any(before.rfind(f"<{t}") > before.rfind(f"</{t}") for t in ("script", "style", "textarea", "title"))
+        html = html if script else html[:at]
+    return re.sub(r"<[a-zA-Z/!?][^<>]*\Z", "", html)
 
 
 def parse(html: str) -> Node:
     t = Tree()
-    t.feed(re.sub(r"<[a-zA-Z/!?][^<>]*\Z", "", html))
+    t.feed(_readable(html))
     t.close()
     return t.root
 
@@ -172,7 +195,7 @@ def cut_named(body: Node) -> None:
     found, todo = [], [body]
     while todo:
         n = todo.pop()
-        exempt = n is body or n.tag in ("html", "body", "article", "main", "p", "a", "h1") or n in holds
+        exempt = n is body or n.tag in ("html", "body") or n in holds or (n.tag in ("article", "main", "p", "a", "h1") and not n.wrapper)
         if n.named and not exempt and (shown or n.chars == n.link_chars or 2 * (n.chars - n.link_chars) < plain):
             found.append(n)
         else:
@@ -269,6 +292,10 @@ def pieces(body: Node, chosen: list[Node]) -> list[Node]:
     return sorted(out, key=lambda t: place[next(x for x in t.items if isinstance(x, Node) and x in place)])
 
 
+def _in_article(n: Node) -> bool:
+    return n.tag in ("article", "main") or any(True for t in ("article", "main") for _ in _above(n, t))
+
+
 def blocks(top: Node, threshold: float) -> list[str]:
     """Texts of the blocks in page order, white space inside each made one space."""
     out: list[str] = []
@@ -288,7 +315,7 @@ def blocks(top: Node, threshold: float) -> list[str]:
             now.append(x)
         elif x.cut:
             continue
-        elif x is not top and x.tag in BLOCK and 2 * x.link_chars > x.chars and x.link_tags > 1 and x.density < threshold:
+        elif x is not top and x.tag in BLOCK and 2 * x.link_chars > x.chars and x.link_tags > 1 and x.density < threshold and not _in_article(x):
             flush()
         else:
             if x.tag == "br":

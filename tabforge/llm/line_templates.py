@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS, broadcast_if_small, stage, unstage
+from .common import WS, WS_CHARS, broadcast_if_small, free_prefix, let, stage, unstage
 
 DEPTH = 3
 MIN_TOKENS = 3
@@ -120,7 +120,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     member = broadcast_if_small(templates(docs), BROADCAST_ROWS)
     found = stage(line_keys(docs).join(member, ["leaf", "h1", "h2"]).select("doc_id", "pos", "t1", "t2"), "line-found")
     recurring = found.groupBy("t1", "t2").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
-    recurring = recurring.filter(F.col("docs") >= MIN_DOCS)
+    # narrow rows, one a template: small enough to be sent to all tasks, or a join that can split
+    recurring = broadcast_if_small(stage(recurring.filter(F.col("docs") >= MIN_DOCS), "line-recurring"), BROADCAST_ROWS)
     gone = found.join(recurring, ["t1", "t2"]).filter(F.col("doc_id") > F.col("first_doc"))
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
 
@@ -128,13 +129,16 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its recurring lines gone from ``text``, plus _n_lines and _n_dropped. A
     non-null text that loses nothing comes back as it was."""
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    d = docs.join(gone, docs["doc_id"] == gone["_id"], "left").drop("_id")
+    prefix = free_prefix(docs.columns)
+    key, dropped = prefix + "id", prefix + "dropped"
+    gone = dropped_lines(docs).select(F.col("doc_id").alias(key), F.col("dropped").alias(dropped))
+    d = docs.join(gone, docs["doc_id"] == gone[key], "left").drop(key)
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_dropped", i)), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)  # by hash: linear in the lines
+    left = let(lines, lambda own: F.array_join(F.transform(kept, lambda i: F.get(own, i)), "\n"))
     return (
         d.withColumn("_n_lines", F.coalesce(F.size(F.split(F.coalesce("text", F.lit("")), "\n")), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left))
-        .withColumn("_n_dropped", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-        .drop("_dropped")
+        .withColumn("text", F.when(F.col(dropped).isNull(), F.col("text")).otherwise(left))
+        .withColumn("_n_dropped", F.coalesce(F.size(dropped), F.lit(0)).cast("long"))
+        .drop(dropped)
     )

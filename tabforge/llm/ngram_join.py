@@ -11,8 +11,9 @@ probed by binary search, and documents that reach the overlap are kept and check
 2. Frequent grams are found by counting; the order (frequency, hash) decides which lists are short.
 3. Each node searches with one query of its short lists (the closest by a parity sketch, whose
    differing bits never exceed the true difference); links give components.
-4. Lists that still join different components are compared in blocks of bounded size by the same
-   bound; every pair left over is searched too. No pair of different components stays untested,
+4. Lists that still join different components are compared in blocks of bounded size by sizes, by
+   the place in the order at which two sets can first meet, and by the same bound; every pair left
+   over is searched too. No pair of different components stays untested,
    so components are exact, while pairs inside a component need not be emitted.
 
 Links are followed by alternating large-star and small-star steps over staged tables.
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import groupby
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, shuffle_partitions, stage, unstage
+from .common import broadcast_if_small, free_prefix, shuffle_partitions, stage, unstage
 from .shingles import mix, shingle_set
 
 SHINGLE = 4
@@ -42,11 +43,15 @@ PERCENT = 85
 #: Grams counted at least so often in one batch of texts are reported; the most frequent
 #: ``FREQUENT_MAX`` of them go last in the order. This steers cost alone, never the links.
 FREQUENT_LOCAL, FREQUENT_MAX, COUNT_BATCH = 4, 100_000, 4_000_000
+#: Documents from which a gram's list is taken as shared without counting its nodes.
+COMMON = 1000
 #: Candidate sets in one search, and list entries in one block.
 CHUNK, BLOCK = 256, 256
 BROADCAST_ROWS = 500_000
 _MU = 0.0085
 _NULL = -(2**63)
+#: Bits of a list entry's place in its document's order.
+_PLACE_BITS = 24
 
 
 # ---- sets and sketches -------------------------------------------------------------------------
@@ -127,12 +132,13 @@ def set_key(g: np.ndarray) -> tuple[int, int]:
 
 
 def gram_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, d, n, k1, k2 (128-bit key of the set), prefix (its short lists), sketch."""
+    """doc_id, d, n, k1, k2 (128-bit key of the set), prefix and common (its short lists; common
+    are those of ``COMMON`` documents and more), sketch."""
     hot, freq = frequent_grams(docs, shingle)
 
     def rows(batches):
         for b in batches:
-            out = {k: [] for k in ("n", "k1", "k2", "prefix", "sketch")}
+            out = {k: [] for k in ("n", "k1", "k2", "prefix", "common", "sketch")}
             for t in b.column(1):
                 g = shingle_set(t.as_py(), shingle)
                 weight = np.zeros(len(g), np.int64)
@@ -144,18 +150,20 @@ def gram_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 k1, k2 = set_key(g)
                 out["k1"].append(k1)
                 out["k2"].append(k2)
-                out["prefix"].append(g[short].view(np.int64))
+                often = weight[short] >= COMMON
+                out["prefix"].append(g[short[~often]].view(np.int64))
+                out["common"].append(g[short[often]].view(np.int64))
                 out["sketch"].append(parity_sketch(g, percent) if len(g) else b"")
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array(out["n"], pa.int64()), pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int64()),
-                    pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["sketch"], pa.binary()),
+                    pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["common"], pa.list_(pa.int64())), pa.array(out["sketch"], pa.binary()),
                 ],
-                ["doc_id", "n", "k1", "k2", "prefix", "sketch"],
+                ["doc_id", "n", "k1", "k2", "prefix", "common", "sketch"],
             )
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        rows, "doc_id long, n long, k1 long, k2 long, prefix array<long>, sketch binary"
+        rows, "doc_id long, n long, k1 long, k2 long, prefix array<long>, common array<long>, sketch binary"
     )
     return stage(made.withColumn("uid", F.monotonically_increasing_id()), "gram-sets")
 
@@ -291,31 +299,45 @@ def _first_candidates(lists: DataFrame, nodes: DataFrame, percent: int) -> DataF
     return pairs.mapInArrow(bound, "q long, d long")
 
 
+def largest_partner(n, place, percent: int):
+    """Largest set that a set of n grams can link with if its first common gram is at ``place`` of
+    the order: all common grams are at or behind it, so they are at most n - place, and a link with
+    b grams needs percent (n + b) / (100 + percent) of them."""
+    return (n - place) * (100 + percent) // percent - n
+
+
 def _other_candidates(lists: DataFrame, nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Every pair (q, d) of different components that shares a short list and may link. A list
-    is compared block against block, so no task holds more than two blocks of one list."""
+    is compared block against block, so no task holds more than two blocks of one list. A node goes
+    where no set of the list is small enough for its place, and in a block it meets only those of
+    fitting sizes, found by bisection: documents alike up to just below the similarity meet late in
+    the order and make no pairs."""
     at = lists.join(comp.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    mixed = at.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
-    at = at.join(mixed.select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "gram")
+    at = at.withColumn("most", F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n"))
+    mixed = at.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("lo <> hi")
+    at = at.join(mixed.select("gram", "least", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "gram")
+    at = at.filter(F.col("most") >= F.greatest("least", F.ceil(F.col("n") * percent / 100)))
     own = F.pmod(F.xxhash64(F.lit("block"), "uid"), F.col("blocks")).cast("int")
     at = at.withColumn("own", own).join(nodes.select("uid", "sketch"), "uid")
-    at = at.select("gram", "uid", "n", "root", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    at = at.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "n", "root", "sketch", "own")
+    at = at.select("gram", "uid", "n", "most", "root", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    at = at.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "n", "most", "root", "sketch", "own")
 
     def compare(batches):
         done: set[tuple[int, int]] = set()
         for (_, i, j), run in _runs(batches, 3):
-            rows = [(uid, n, root, _bits(s), own) for _, _, _, uid, n, root, s, own in run]
-            left = [r for r in rows if r[4] == i]
-            right = left if i == j else [r for r in rows if r[4] == j]
+            rows = [(n, uid, most, root, _bits(s), own) for _, _, _, uid, n, most, root, s, own in run]
+            left = [r for r in rows if r[5] == i]
+            right = sorted((r for r in rows if r[5] == j), key=lambda r: r[0])
+            sizes = [r[0] for r in right]
             out: list[tuple[int, int]] = []
-            for x, a in enumerate(left):
-                for b in left[x + 1 :] if i == j else right:
-                    if a[2] != b[2]:
-                        pair = (min(a[0], b[0]), max(a[0], b[0]))
+            for n, uid, most, root, sketch, _ in left:
+                lo = bisect_left(sizes, -(-n * percent // 100))
+                for nb, other, most_b, root_b, sketch_b, _ in right[lo : bisect_right(sizes, min(most, n * 100 // percent))]:
+                    if root != root_b and most_b >= n:
+                        pair = (min(uid, other), max(uid, other))
                         if pair not in done:
                             done.add(pair)
-                            if may_link(a[1], a[3], b[1], b[3], percent):
+                            if may_link(n, sketch, nb, sketch_b, percent):
                                 out.append(pair)
             if len(done) > 1_000_000:  # only saves repeated tests
                 done.clear()
@@ -340,10 +362,18 @@ def _components(docs: DataFrame, shingle: int, percent: int, extra: list[str]) -
     classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size"))
     classes = stage(classes, "gram-classes")
     nodes = stage(sets.select("uid", "n", "sketch", d.alias("d")).join(classes, "uid"), "gram-nodes")
-    entries = sets.select("uid", "n", "prefix").join(classes.select("uid"), "uid", "left_semi").select("uid", "n", F.explode("prefix").alias("gram"))
-    # short lists of two or more nodes; most grams are in one and go
-    shared = entries.selectExpr("uid", "n", "gram", "count(1) over (partition by gram) as m").filter("m > 1").drop("m")
-    lists = stage(shared, "gram-lists")
+    own = sets.select("uid", "n", "prefix", "common").join(classes.select("uid"), "uid", "left_semi")
+    # size and place in the order share a number: the lists are what is shuffled most
+    at = F.shiftleft("n", _PLACE_BITS) + F.col("place")
+    entries = own.select("uid", "n", F.posexplode("prefix").alias("place", "gram")).select("uid", at.alias("at"), "gram")
+    often = own.select("uid", "n", F.size("prefix").alias("_rare"), F.posexplode("common").alias("place", "gram"))
+    often = often.withColumn("place", F.col("place") + F.col("_rare")).select("uid", at.alias("at"), "gram")
+    # short lists of two or more nodes; most grams are in one and go. Grams of very many documents are
+    # not counted again, so that no task gathers one
+    shared = entries.selectExpr("uid", "at", "gram", "count(1) over (partition by gram) as m").filter("m > 1").drop("m")
+    held = stage(shared.unionByName(often), "gram-lists")
+    place = F.col("at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
+    lists = held.select("uid", F.shiftright("at", _PLACE_BITS).alias("n"), place.alias("place"), "gram")
     first = stage(_first_candidates(lists, nodes, percent), "first-pairs")
     comp = connected(search(docs, nodes, first, shingle, percent).toDF("a", "b"))
     rest = stage(_other_candidates(lists, nodes, comp, percent), "other-pairs")
@@ -357,7 +387,7 @@ def _components(docs: DataFrame, shingle: int, percent: int, extra: list[str]) -
     alone = sets.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "class_size": F.lit(1).cast("long"), "root": F.col("uid")})
     shown = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", *extra]
     out = stage(out.select(*shown).unionByName(alone.select(*shown)), "components")
-    unstage(sets, classes, nodes, lists, first, rest)
+    unstage(sets, classes, nodes, held, first, rest)
     return out
 
 
@@ -377,14 +407,15 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     # rows of a repeated id may lie in several components, so they are told apart by their sets
     first = comp.filter("n_shingles > 0 and doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("s"))
     first = stage(first.select(F.col("s.doc_id").alias("_id"), F.col("s.k1").alias("_f1"), F.col("s.k2").alias("_f2")), "first-rows")
-    rows = _with_key(docs.join(repeated, docs["doc_id"] == repeated["_repeated"], "left_semi"), shingle)
-    same = (rows["doc_id"] == first["_id"]) & (rows["_k1"] == first["_f1"]) & (rows["_k2"] == first["_f2"])
-    kept = rows.filter("_n > 0").join(first, same, "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]).unionByName(rows.filter("_n = 0"))
+    n, k1, k2 = (free_prefix(docs.columns) + c for c in ("n", "k1", "k2"))
+    rows = _with_key(docs.join(repeated, docs["doc_id"] == repeated["_repeated"], "left_semi"), shingle, [n, k1, k2])
+    same = (rows["doc_id"] == first["_id"]) & (rows[k1] == first["_f1"]) & (rows[k2] == first["_f2"])
+    kept = rows.filter(rows[n] > 0).join(first, same, "left_semi").dropDuplicates(["doc_id", k1, k2]).unionByName(rows.filter(rows[n] == 0))
     return once.unionByName(kept.select(*docs.columns))
 
 
-def _with_key(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` plus _n, _k1 and _k2 of each row's set."""
+def _with_key(docs: DataFrame, shingle: int, names: list[str]) -> DataFrame:
+    """``docs`` plus size and key (two numbers) of each row's set, under ``names``."""
     kept, schema = docs.columns, docs.schema
 
     def rows(batches):
@@ -392,7 +423,7 @@ def _with_key(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [shingle_set(t.as_py(), shingle) for t in b.column(kept.index("text"))]
             keys = [set_key(g) for g in sets]
             made = [[len(g) for g in sets], [k[0] for k in keys], [k[1] for k in keys]]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in made)], [*kept, "_n", "_k1", "_k2"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in made)], [*kept, *names])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.mapInArrow(rows, f"{ddl}, _n long, _k1 long, _k2 long")
+    return docs.mapInArrow(rows, f"{ddl}, {', '.join(f'`{c}` long' for c in names)}")

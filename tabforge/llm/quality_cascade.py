@@ -29,6 +29,8 @@ MAX_DUP_LINE_PERCENT = 50
 MAX_UPPER_PERCENT = 60
 MAX_EXCLAIM_PERCENT = 30
 #: Expected rows of the sample that costs and selectivities are measured on; no result depends on it.
+#: Words up to which a window's hash and place share one number.
+PACKED_WORDS = 1 << 15
 SAMPLE_ROWS = 2000
 
 SYMBOLS = "[#*$%&|<>]"
@@ -65,7 +67,8 @@ def n_dup_lines() -> Column:
 def n_repeat_words() -> Column:
     """Words inside 3-word windows found twice or more in the text. A window's hash and position
     are packed into one long (the position takes only the low bits that the text's length needs),
-    sorted, and equal neighbours mark the positions: n log n on primitive longs."""
+    sorted, and equal neighbours mark the positions: n log n on primitive longs. In a text of more
+    than ``PACKED_WORDS`` words too few bits of the hash would be left, so there they are pairs."""
     n = F.col("_n_words")
     bits = F.ceil(F.log2(n + 1)).cast("int")
     packed = F.transform(
@@ -85,7 +88,18 @@ def n_repeat_words() -> Column:
         step = lambda a, x: F.struct((a["c"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("c"), x.alias("last"))
         return F.aggregate(p, zero, step, lambda a: a["c"])
 
-    value = F.get(F.transform(F.array(F.sort_array(packed)), lambda s: covered(positions(s))), F.lit(0))
+    pairs = F.transform(
+        F.sequence(F.lit(0), n.cast("int") - 3),
+        lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.cast("long").alias("p")),
+    )
+
+    def pair_positions(s):
+        twin = lambda x, i, d: F.coalesce(F.get(s, i + d)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, i: twin(x, i, -1) | twin(x, i, 1)), lambda x: x["p"]))
+
+    short = F.get(F.transform(F.array(F.sort_array(packed)), lambda s: covered(positions(s))), F.lit(0))
+    long = F.get(F.transform(F.array(F.sort_array(pairs)), lambda s: covered(pair_positions(s))), F.lit(0))
+    value = F.when(n <= PACKED_WORDS, short).otherwise(long)
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(value)
 
 

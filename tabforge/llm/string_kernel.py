@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_prefix
+
 SPECTRUM, PLACES = 3, 1 << 14
 SAMPLE_PER_LANG, LANDMARKS_PER_LANG = 400, 32
 RIDGE = 1e-4
@@ -174,8 +176,9 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, landmarks: int = LANDM
     return Model(langs, marks, (root @ beta).astype(np.float32), (offset - centre @ beta).astype(np.float32), bound)
 
 
-def predict(docs: DataFrame, model: Model | None, evidence: bool = False) -> DataFrame:
-    """``docs`` plus lang_pred and score (0 to 1), and evidence if asked; only ``text`` is looked at."""
+def predict(docs: DataFrame, model: Model | None, evidence: bool = False, prefix: str = "") -> DataFrame:
+    """``docs`` plus lang_pred and score (0 to 1), and evidence if asked, their names after
+    ``prefix``; only ``text`` is looked at."""
     kept = docs.columns
     schema = docs.schema
 
@@ -202,9 +205,9 @@ def predict(docs: DataFrame, model: Model | None, evidence: bool = False) -> Dat
             made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), *([pa.array(proof, pa.float64())] if evidence else [])]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*kept, *added])
 
-    added = ["lang_pred", "score", *(["evidence"] if evidence else [])]
+    added = [prefix + c for c in ("lang_pred", "score", *(["evidence"] if evidence else []))]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.mapInArrow(rows, f"{ddl}, lang_pred string, score double" + ", evidence double" * evidence)
+    return docs.mapInArrow(rows, ", ".join([ddl, *(f"`{c}` {t}" for c, t in zip(added, ("string", "double", "double"), strict=False))]))
 
 
 def in_learned_language(docs: DataFrame) -> DataFrame:
@@ -212,8 +215,9 @@ def in_learned_language(docs: DataFrame) -> DataFrame:
     scores cannot tell these: they add up to 1 however little a text shares with any landmark. Their
     margin is not asked either, so a text that mixes learned languages stays."""
     model = fit(docs.select("doc_id", "text", "lang"))
-    scored = predict(docs, model, evidence=True)
-    known = (F.col("lang_pred") != UNKNOWN) & (F.col("evidence") >= (model.bound if model is not None else 0.0))
+    prefix = free_prefix(docs.columns)
+    scored = predict(docs, model, evidence=True, prefix=prefix)
+    known = (F.col(prefix + "lang_pred") != UNKNOWN) & (F.col(prefix + "evidence") >= (model.bound if model is not None else 0.0))
     return scored.filter(known).select(*docs.columns)
 
 
