@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.functions.scalar import norm_text
+from tabforge.session import staged
 
 BINARY_VALUES = ("true", "false", "1", "0")  # fixed: vocabulary of vote mode
 # fixed: source priority weights of the final blend
@@ -76,26 +77,41 @@ def _one_per_table(long: DataFrame) -> DataFrame:
     return long.groupBy("id", "pos").agg(F.min("value").alias("value"), F.min("weight").alias("weight"))
 
 
-def weighted_vote(long: DataFrame, as_bool: bool | None = None) -> DataFrame:
-    """B2 (+B5): sum(w * vote) / sum(w) >= 0.5 over all tables; an id missing from
-    any table compares false; output formatted like the first table."""
-    n_tables = long.select("pos").distinct().count()
-    total_w = long.select("pos", "weight").distinct().agg(F.sum("weight")).first()[0]
-    if as_bool is None:
-        as_bool = output_as_bool(long)
+def _tables(long: DataFrame, weights: list[float] | None) -> tuple[int, float]:
+    """Number of stacked tables and their weights' sum: from the caller, or read off in one job."""
+    if weights is None:
+        weights = [r["weight"] for r in long.groupBy("pos").agg(F.min("weight").alias("weight")).collect()]
+    return len(weights), float(sum(weights))
+
+
+def weighted_majority(long: DataFrame, weights: list[float] | None = None) -> DataFrame:
+    """B2: id and whether sum(w * vote) / sum(w) >= 0.5 over all tables (``majority``); an id that
+    some table lacks compares false."""
+    n_tables, total_w = _tables(long, weights)
     per = _one_per_table(long).groupBy("id").agg(
         F.sum(F.col("weight") * normalise_vote("value")).alias("ws"), F.count(F.lit(1)).alias("k")
     )
     maj = F.when(F.col("k") < n_tables, F.lit(False)).otherwise(F.col("ws") / F.lit(total_w) >= 0.5)
-    fmt = F.when(maj, "True").otherwise("False") if as_bool else maj.cast("int").cast("string")
     ref = long.where(F.col("pos") == 0).select("id").distinct()
-    return ref.join(per, "id", "left").select("id", fmt.alias("prediction"))
+    return ref.join(per, "id", "left").select("id", maj.alias("majority"))
+
+
+def vote_format(majority, as_bool: bool) -> Column:
+    """A majority as True/False or 1/0 text."""
+    m = F.col(majority) if isinstance(majority, str) else majority
+    return F.when(m, "True").otherwise("False") if as_bool else m.cast("int").cast("string")
 
 
-def weighted_average(long: DataFrame) -> DataFrame:
+def weighted_vote(long: DataFrame, as_bool: bool | None = None, weights: list[float] | None = None) -> DataFrame:
+    """B2 (+B5): the weighted majority, formatted like the first table."""
+    if as_bool is None:
+        as_bool = output_as_bool(long)
+    return weighted_majority(long, weights).select("id", vote_format("majority", as_bool).alias("prediction"))
+
+
+def weighted_average(long: DataFrame, weights: list[float] | None = None) -> DataFrame:
     """sum(w * number) / sum(w); any missing or non-numeric value -> null."""
-    n_tables = long.select("pos").distinct().count()
-    total_w = long.select("pos", "weight").distinct().agg(F.sum("weight")).first()[0]
+    n_tables, total_w = _tables(long, weights)
     x = F.col("value").try_cast("double")
     per = _one_per_table(long).groupBy("id").agg(F.sum(F.col("weight") * x).alias("ws"), F.count(x).alias("k"))
     val = F.when(F.col("k") < n_tables, F.lit(None)).otherwise(F.col("ws") / F.lit(total_w))
@@ -105,8 +121,8 @@ def weighted_average(long: DataFrame) -> DataFrame:
 
 def blend(tables: list[tuple[str, DataFrame, float]], id_col: str, value_col: str) -> DataFrame:
     """B4 dispatch: vote or average."""
-    long = stack_predictions(tables, id_col, value_col)
-    return weighted_vote(long) if blend_mode(long) == "vote" else weighted_average(long)
+    long, weights = stack_predictions(tables, id_col, value_col), [float(w) for _, _, w in tables]
+    return weighted_vote(long, None, weights) if blend_mode(long) == "vote" else weighted_average(long, weights)
 
 
 def unanimous_rate(long: DataFrame) -> DataFrame:
@@ -136,3 +152,22 @@ def select_blend_inputs(available: dict[str, bool]) -> BlendChoice:
         chosen.append(("generated", PRIORITY_WEIGHTS["generated"]))
     action = "blend" if len(chosen) > 1 else ("single" if chosen else "none")
     return BlendChoice(tuple(chosen), action)
+
+
+def final_predictions(sources: dict[str, DataFrame | None], id_col: str, value_col: str, last_resort: DataFrame | None = None) -> tuple[DataFrame | None, str]:
+    """B6 to the end: (id, prediction) and how it came about. The chosen sources are blended; a blend
+    that fails falls back to the first of them, a single source passes through, and without any the
+    last resort does. The blend is written out here, so that its failure shows here."""
+    choice = select_blend_inputs({name: df is not None for name, df in sources.items()})
+    plain = lambda df: df.select(F.col(id_col).alias("id"), F.col(value_col).cast("string").alias("prediction"))
+    if choice.action == "none":
+        return (plain(last_resort), "last resort") if last_resort is not None else (None, "none")
+    first = choice.inputs[0][0]
+    if choice.action == "single":
+        return plain(sources[first]), first
+    try:
+        tables = [(name, sources[name], w) for name, w in choice.inputs]
+        done = staged(blend(tables, id_col, value_col), "blend")
+        return done.select("id", F.col("prediction").cast("string").alias("prediction")), "blend"
+    except Exception as e:  # noqa: BLE001 - goes on with the first input
+        return plain(sources[first]), f"{first}: the blend failed with {type(e).__name__}"

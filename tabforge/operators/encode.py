@@ -112,13 +112,12 @@ def _leave_fold_out(te: TargetEncoding) -> DataFrame:
 
 def apply_target_encoding_oof(df: DataFrame, te: TargetEncoding, fold_col: str = "fold", suffix: str = "") -> DataFrame:
     """E5: train rows get the encoding fitted without their own fold."""
-    lfo = _leave_fold_out(te)
+    lfo = fitted_table(_leave_fold_out(te))  # staged once for all columns
     out = df
     for c in te.columns:
         t = lfo.where(F.col("column") == c).select(
             F.col("value").alias("_tv"), F.col("fold").alias("_tf"), F.col("enc").alias("_te")
         )
-        t = fitted_table(t)
         out = (
             out.join(t, (_key(c) == F.col("_tv")) & (F.col(fold_col) == F.col("_tf")), "left")
             .withColumn(c + suffix, F.coalesce(F.col("_te"), F.lit(te.global_mean)))
@@ -146,10 +145,10 @@ def target_encoding_test_table(te: TargetEncoding) -> DataFrame:
 
 def apply_target_encoding_test(df: DataFrame, te: TargetEncoding, suffix: str = "") -> DataFrame:
     """Test rows get the mean fold encoding; unseen values the global mean."""
-    tbl = target_encoding_test_table(te)
+    tbl = fitted_table(target_encoding_test_table(te))
     out = df
     for c in te.columns:
-        t = fitted_table(tbl.where(F.col("column") == c).select(F.col("value").alias("_tv"), F.col("enc").alias("_te")))
+        t = tbl.where(F.col("column") == c).select(F.col("value").alias("_tv"), F.col("enc").alias("_te"))
         out = (
             out.join(t, _key(c) == F.col("_tv"), "left")
             .withColumn(c + suffix, F.coalesce(F.col("_te"), F.lit(te.global_mean)))
@@ -201,9 +200,11 @@ def fit_ordinal(train: DataFrame, cols: list[str], partitions: int | None = None
 
 def apply_ordinal(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """E3 apply: unseen (or null) -> -1."""
-    out = df
+    if not cols:
+        return df
+    tbl, out = fitted_table(codes), df  # staged once for all columns
     for c in cols:
-        t = fitted_table(codes.where(F.col("column") == c).select(F.col("value").alias("_ov"), F.col("code").alias("_oc")))
+        t = tbl.where(F.col("column") == c).select(F.col("value").alias("_ov"), F.col("code").alias("_oc"))
         out = (
             out.join(t, F.col(c).cast("string") == F.col("_ov"), "left")
             .withColumn(c + suffix, F.coalesce(F.col("_oc"), F.lit(-1)))

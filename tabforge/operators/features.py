@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from tabforge.functions import scalar as S
 from tabforge.operators.encode import fit_medians
-from tabforge.operators.infer import DATETIME_SHARE, ID_LIKE_MIN, ID_LIKE_SHARE
+from tabforge.operators.distinct import EXACT, distinct_counts, distinct_state
+from tabforge.operators.infer import DATETIME_SHARE, ID_LIKE_MIN, ID_LIKE_SHARE, is_id_like
 from tabforge.session import fitted_table
 
 MISS_LOW, MISS_HIGH = 0.01, 0.99  # fixed: missing-indicator band
@@ -114,7 +115,8 @@ class GenericPlan:
 
 def fit_generic(train: DataFrame) -> GenericPlan:
     """One aggregate decides id-like candidates, datetime and bool-like text columns
-    and null shares; exact distinct counts only for HLL survivors."""
+    and null shares; columns near the id-like share beyond the bounded distinct states are counted
+    exactly in one more job."""
     types = {f.name: f.dataType for f in train.schema.fields}
     text = [c for c in train.columns if isinstance(types[c], StringType)]
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -123,16 +125,18 @@ def fit_generic(train: DataFrame) -> GenericPlan:
     for c in text:
         v = S.norm_text(c)
         aggs += [
-            F.approx_count_distinct(c, 0.02).alias(f"{c}|hll"),
             F.avg(F.try_to_timestamp(F.col(c)).isNotNull().cast("double")).alias(f"{c}|dt"),
             F.count_if(v.isNotNull() & ~v.isin(*S.BOOLISH_MAP)).alias(f"{c}|nb"),
         ]
-    r = train.agg(*aggs).first()
+    states = [distinct_state(F.col(c)).alias(f"{c}|distinct") for c in text]
+    r = train.agg(*aggs, *states).first()
     n = r["_n"]
-    cand = [c for c in text if r[f"{c}|hll"] >= 0.85 * ID_LIKE_SHARE * n and r[f"{c}|hll"] > 0.85 * ID_LIKE_MIN]
-    exact = train.agg(*[F.count_distinct(S.digest128(c)).alias(c) for c in cand]).first() if cand else {}
+    near = [c for c in text if (r[f"{c}|distinct"] or 0) >= 0.85 * ID_LIKE_SHARE * n and r[f"{c}|distinct"] > 0.85 * ID_LIKE_MIN]
+    sure = {c: int(r[f"{c}|distinct"]) for c in near if r[f"{c}|distinct"] < EXACT}
+    rest = [c for c in near if c not in sure]
+    exact = sure | (distinct_counts(train, {c: F.col(c) for c in rest})[0] if rest else {})
     plan = GenericPlan()
-    plan.dropped = [c for c in cand if exact[c] > ID_LIKE_SHARE * n and exact[c] > ID_LIKE_MIN]
+    plan.dropped = [c for c in near if is_id_like(exact[c], n)]
     rest = [c for c in text if c not in plan.dropped]
     plan.datetime = [c for c in rest if r[f"{c}|dt"] > DATETIME_SHARE]
     plan.boolish = [c for c in rest if c not in plan.datetime and r[f"{c}|nb"] == 0]
@@ -184,6 +188,7 @@ class DomainSpec:
     cross_b: str | None = None
     skip: tuple[str, ...] = ()
     bins: int = 10
+    inconsistency_name: str = "CryoSpend_flag"  # flag set although the measures add up to more than 0
 
 
 @dataclass
@@ -192,6 +197,7 @@ class DomainFit:
     num_hi: float | None
     group_sizes: DataFrame | None
     numeric_median: float | None
+    true_false: list[str] = field(default_factory=list)  # columns of true/false alone (any case), or of nulls
 
 
 def fit_domain(train: DataFrame, spec: DomainSpec) -> DomainFit:
@@ -200,7 +206,9 @@ def fit_domain(train: DataFrame, spec: DomainSpec) -> DomainFit:
         lo, hi = fit_equal_width(train, S.split_part_or_null(spec.composite_col, spec.composite_sep, 1).try_cast("double"))
     sizes = group_size_table(train, S.group_key(spec.id_col, spec.group_sep)[0]) if spec.id_col else None
     med = fit_medians(train, [spec.numeric_col])[spec.numeric_col] if spec.numeric_col else None
-    return DomainFit(lo, hi, sizes, med)
+    flags = [f.name for f in train.schema.fields if isinstance(f.dataType, (StringType, BooleanType)) and f.name not in (spec.id_col, spec.composite_col)]
+    r = train.agg(*[F.count_if(F.col(c).isNotNull() & ~S.norm_text(c).isin(*S.BOOL_TF)).alias(c) for c in flags]).first() if flags else {}
+    return DomainFit(lo, hi, sizes, med, [c for c in flags if r[c] == 0])
 
 
 def apply_domain(df: DataFrame, spec: DomainSpec, fit: DomainFit) -> DataFrame:
@@ -241,7 +249,9 @@ def apply_domain(df: DataFrame, spec: DomainSpec, fit: DomainFit) -> DataFrame:
         new[f"{spec.flag_col}_int"] = S.bool_to_int(spec.flag_col)
         flag01 = F.greatest(S.bool_to_int(spec.flag_col), F.lit(0))
         if total is not None:
-            new["CryoSpend_flag"] = S.inconsistency_flag(flag01, total)
+            new[spec.inconsistency_name] = S.inconsistency_flag(flag01, total)
+    for c in fit.true_false:
+        new.setdefault(f"{c}_int", S.bool_to_int(c))
     if spec.numeric_col:
         a = F.col(spec.numeric_col).cast("string").try_cast("double")
         new[f"{spec.numeric_col}_bin"] = S.bin_edges(a).cast("double")

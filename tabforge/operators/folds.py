@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.scalar import hash_bucket
-from tabforge.session import fitted_table
+from tabforge.session import fitted_table, ranked
+
+#: Rows of one (class, bucket) that one task ranks.
+SPLIT_ROWS = 2_000_000
 
 
 def assign_folds(df: DataFrame, k: int, id_col: str, fold_col: str = "fold") -> DataFrame:
@@ -26,9 +29,11 @@ def assign_folds(df: DataFrame, k: int, id_col: str, fold_col: str = "fold") ->
 
 
 def assign_stratified_folds(
-    df: DataFrame, k: int, id_col: str, y_col: str, fold_col: str = "fold", digits: int = 4
+    df: DataFrame, k: int, id_col: str, y_col: str, fold_col: str = "fold", digits: int = 4, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
-    """M2: per-class balanced folds; class counts per fold differ by at most one."""
+    """M2: per-class balanced folds; class counts per fold differ by at most one. If some (class,
+    bucket) has more than ``split_rows`` rows (an id repeated very often), the rows are ranked over
+    range slices instead, which also split the copies of one id; ranks are the same."""
     h = F.md5(F.col(id_col).cast("string"))
     # null-safe class key so a null target is a class of its own and joins back
     keyed = (
@@ -36,10 +41,14 @@ def assign_stratified_folds(
         .withColumn("_h", h)
         .withColumn("_b", F.substring("_h", 1, digits))
     )
-    sizes = keyed.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = fitted_table(keyed.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n")))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) > split_rows:
+        tie = F.struct("_h", id_col, F.monotonically_increasing_id().alias("t")).alias("_v")
+        placed = ranked(keyed.select("*", tie), ["_y"], "_v", "_rank")
+        return placed.withColumn(fold_col, F.pmod("_rank", F.lit(k)).cast("int")).drop("_y", "_h", "_b", "_v", "_rank")
     w_off = Window.partitionBy("_y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_y", "_b", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    joined = keyed.join(fitted_table(offsets), ["_y", "_b"], "inner")
+    joined = keyed.join(offsets, ["_y", "_b"], "inner")
     w_rn = Window.partitionBy("_y", "_b").orderBy("_h", id_col)
     return joined.withColumn(fold_col, F.pmod(F.col("_off") + F.row_number().over(w_rn) - 1, F.lit(k)).cast("int")).drop(
         "_y", "_h", "_b", "_off"

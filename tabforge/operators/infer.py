@@ -6,10 +6,11 @@ to the driver are per-column summaries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.functions.scalar import BOOL_TF, BOOLISH_MAP, _lit_regex, digest128, norm_text
+from tabforge.functions.scalar import BOOL_TF, BOOLISH_MAP, _lit_regex, norm_text
+from tabforge.operators.distinct import distinct_counts
 from tabforge.session import fitted_table, ranked
 
 BINARY, MULTICLASS, REGRESSION = "BINARY", "MULTICLASS", "REGRESSION"
@@ -21,24 +22,28 @@ DATETIME_SHARE = 0.8
 HIGH_CARD = 5
 
 
+def detect_tasks(df: DataFrame, targets: dict[str, Column]) -> DataFrame:
+    """I1 for several targets in one scan: a row (target, task, n_distinct, numeric_share) each.
+    Distinct is over the lower-cased trimmed text; a null counts as one more label."""
+    extra = []
+    for i, y in enumerate(targets.values()):
+        v = norm_text(y)
+        extra += [
+            F.max(v.isNull().cast("int")).alias(f"__z{i}"), F.avg(y.cast("string").try_cast("double").isNotNull().cast("double")).alias(f"__s{i}"),
+            F.count_if(v.isNull() | ~v.isin(*BOOL_TF)).alias(f"__t{i}"),
+        ]
+    counts, r = distinct_counts(df, {name: norm_text(y) for name, y in targets.items()}, extra)
+    rows = []
+    for i, (name, n) in enumerate(counts.items()):
+        n += r[f"__z{i}"] or 0
+        task = BINARY if r[f"__t{i}"] == 0 or n == 2 else MULTICLASS if n <= MAX_CLASSES else REGRESSION
+        rows.append((name, task, n, r[f"__s{i}"]))
+    return df.sparkSession.createDataFrame(rows, "target string, task string, n_distinct long, numeric_share double")
+
+
 def detect_task(df: DataFrame, y: str) -> DataFrame:
-    """One row (task, n_distinct, numeric_share). Distinct is over the
-    lower-cased trimmed text; a null counts as one more label."""
-    v = norm_text(y)
-    num = F.col(y).cast("string").try_cast("double")
-    r = df.agg(
-        (F.count_distinct(v) + F.max(v.isNull().cast("int"))).alias("n_distinct"),
-        F.avg(num.isNotNull().cast("double")).alias("numeric_share"),
-        F.count_if(v.isNull() | ~v.isin(*BOOL_TF)).alias("_not_tf"),
-    )
-    n = F.col("n_distinct")
-    task = (
-        F.when(F.col("_not_tf") == 0, F.lit(BINARY))
-        .when(n == 2, F.lit(BINARY))
-        .when(n <= MAX_CLASSES, F.lit(MULTICLASS))
-        .otherwise(F.lit(REGRESSION))
-    )
-    return r.select(task.alias("task"), n.cast("long").alias("n_distinct"), "numeric_share")
+    """One row (task, n_distinct, numeric_share) of one target."""
+    return detect_tasks(df, {y: F.col(y)}).drop("target")
 
 
 def label_table(df: DataFrame, y: str) -> DataFrame:
@@ -66,21 +71,24 @@ def decode_predictions(pred: DataFrame, code_col: str, labels: DataFrame, out: s
     )
 
 
+def is_id_like(distinct: int, rows: int) -> bool:
+    return distinct > ID_LIKE_SHARE * rows and distinct > ID_LIKE_MIN
+
+
+def id_like_counts(df: DataFrame, cols: list[str], rows: int | None = None) -> tuple[dict[str, int], int]:
+    """Distinct counts, exact wherever they decide whether a column is id-like, and the row count."""
+    n = df.count() if rows is None else rows
+    counts, _ = distinct_counts(df, {c: F.col(c) for c in cols}, exact_from=int(0.85 * ID_LIKE_SHARE * n))
+    return counts, n
+
+
 def id_like_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """I4: text column with distinct > 0.97 * rows and > 50. A one-pass HLL
-    pre-screen drops clearly low-cardinality columns; exact distinct counts run
-    only for the survivors."""
+    """I4: text column with distinct > 0.97 * rows and > 50, from bounded distinct states in one
+    scan; columns near or beyond the share are counted exactly in one more job."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, id_like int")
-    pre = df.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(c, 0.02).alias(c) for c in cols]).first()
-    n = pre["_n"]
-    survivors = [c for c in cols if pre[c] >= 0.85 * ID_LIKE_SHARE * n and pre[c] > 0.85 * ID_LIKE_MIN]
-    exact = {}
-    if survivors:
-        # distinct digests, not the values: long texts are never shuffled
-        r = df.agg(*[F.count_distinct(digest128(c)).alias(c) for c in survivors]).first()
-        exact = {c: r[c] for c in survivors}
-    rows = [(c, int(c in exact and exact[c] > ID_LIKE_SHARE * n and exact[c] > ID_LIKE_MIN)) for c in cols]
+    counts, n = id_like_counts(df, cols)
+    rows = [(c, int(is_id_like(counts[c], n))) for c in cols]
     return df.sparkSession.createDataFrame(rows, "column string, id_like int")
 
 
@@ -118,17 +126,11 @@ def boolean_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def high_cardinality_columns(df: DataFrame, cols: list[str], k: int = HIGH_CARD) -> DataFrame:
-    """Text columns with more than k distinct values, from the counted
-    (column, value) table of one unpivot."""
-    from tabforge.operators.profile import value_counts
-
-    return (
-        value_counts(df, cols)
-        .where(F.col("value").isNotNull())
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("n_distinct"))
-        .withColumn("high_card", (F.col("n_distinct") > k).cast("int"))
-    )
+    """Columns of at least one value with their distinct count and whether it is above k, from
+    bounded distinct states in one scan."""
+    counts, _ = distinct_counts(df, {c: F.col(c).cast("string") for c in cols})
+    rows = [(c, n, int(n > k)) for c, n in counts.items() if n]
+    return df.sparkSession.createDataFrame(rows, "column string, n_distinct long, high_card int")
 
 
 def composite_columns(df: DataFrame, cols: list[str], sep: str) -> DataFrame:
@@ -153,11 +155,14 @@ def composite_columns(df: DataFrame, cols: list[str], sep: str) -> DataFrame:
 HINT_SEPS = ("/", "_", "#", "-")  # fixed: separators tried for composite codes
 
 
-def feature_hints(df: DataFrame, text_cols: list[str], measure_cols: list[str]) -> DataFrame:
+def feature_hints(df: DataFrame, text_cols: list[str], measure_cols: list[str], id_col: str | None = None) -> DataFrame:
     """Rule table of suggestions (column, hint) derived from one aggregate:
     composite split when the smallest value holds a separator, a last-token hint
-    for name-like columns, spend totals when measures have zeros, boolean casts."""
+    for name-like columns, spend totals when measures have zeros, boolean casts, and
+    the group prefix of an id whose smallest value holds a separator."""
     aggs = [F.min(F.col(c).cast("string")).alias(f"{c}|ex") for c in text_cols]
+    if id_col:
+        aggs.append(F.min(F.col(id_col).cast("string")).alias("|id"))
     aggs += [F.count_if(F.col(c) == 0).alias(f"{c}|z") for c in measure_cols]
     aggs += [F.count_if(norm_text(c).isNotNull() & ~norm_text(c).isin(*BOOL_TF)).alias(f"{c}|nb") for c in text_cols]
     aggs += [F.count(F.col(c)).alias(f"{c}|nn") for c in text_cols]
@@ -174,6 +179,10 @@ def feature_hints(df: DataFrame, text_cols: list[str], measure_cols: list[str])
         rows.append(
             F.when((F.col(f"`{c}|nb`") == 0) & (F.col(f"`{c}|nn`") > 0), F.struct(F.lit(c).alias("column"), F.lit("cast boolean").alias("hint")))
         )
+    if id_col:
+        first = F.coalesce(*[F.when(F.instr(F.col("`|id`"), s) > 0, F.lit(s)) for s in HINT_SEPS])
+        hint = F.concat(F.lit("group prefix before "), first, F.lit(" of "), F.col("`|id`"))
+        rows.append(F.when(first.isNotNull(), F.struct(F.lit(id_col).alias("column"), hint.alias("hint"))))
     if measure_cols:
         anyz = None
         for m in measure_cols:

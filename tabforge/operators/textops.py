@@ -3,6 +3,9 @@ validation and parameter parsing, applied to a text/JSON column of a table."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +71,65 @@ def card_errors(json_col: str) -> Column:
     return _errors([(F.coalesce(b, F.lit(False)), m) for b, m in checks])
 
 
+@dataclass(frozen=True)
+class FieldRule:
+    """What a record must hold at ``path`` (``a.b``): one of ``kinds`` (integer, number, text, boolean,
+    array, object), a number in low..high, one of ``among``, an array of at least ``min_items``. A
+    field that is not ``required`` may be absent or null."""
+
+    path: str
+    kinds: tuple[str, ...] = ()
+    required: bool = True
+    low: float | None = None
+    high: float | None = None
+    among: tuple[str, ...] = ()
+    min_items: int = 0
+
+
+# type names that the variant's schema starts with, by kind
+_KINDS = {"integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "text": ("STRING",), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
+
+
+def record_errors(json_col: str, rules: list[FieldRule]) -> Column:
+    """X6 by a declared record: the broken rules of a JSON text as texts, in rule order. The text is
+    parsed once to a variant; text that is no JSON object has that one error."""
+    v = F.try_parse_json(F.col(json_col).cast("string"))
+
+    def of(v):
+        checks = []
+        for r in rules:
+            at = f"$.{r.path}"
+            field = F.try_variant_get(v, at, "variant")
+            kind = F.schema_of_variant(field)
+            there = kind.isNotNull() & (kind != "VOID")
+            if r.required:
+                checks.append((~there, f"{r.path}: missing"))
+            names = [n for k in r.kinds for n in _KINDS[k]]
+            if names:
+                fits = reduce(lambda a, b: a | b, [kind.startswith(n) for n in names])
+                checks.append((there & ~fits, f"{r.path}: not {' or '.join(r.kinds)}"))
+            number = F.try_variant_get(v, at, "double")
+            if r.low is not None:
+                checks.append((number < r.low, f"{r.path}: below {r.low:g}"))
+            if r.high is not None:
+                checks.append((number > r.high, f"{r.path}: above {r.high:g}"))
+            if r.among:
+                checks.append((there & ~F.coalesce(F.try_variant_get(v, at, "string"), F.lit("")).isin(*r.among), f"{r.path}: not one of {', '.join(r.among)}"))
+            if r.min_items:
+                size = F.size(F.try_variant_get(v, at, "array<variant>"))
+                checks.append((kind.startswith("ARRAY") & (size < r.min_items), f"{r.path}: fewer than {r.min_items} items"))
+        return _errors([(F.coalesce(b, F.lit(False)), m) for b, m in checks])
+
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.when(is_object, F.get(F.transform(F.array(v), of), F.lit(0))).otherwise(F.array(F.lit("not a JSON object")))
+
+
+def check_records(df: DataFrame, json_col: str, rules: list[FieldRule]) -> DataFrame:
+    """Add ``errors``, ``n_errors`` and ``valid`` by declared rules."""
+    out = df.withColumn("errors", record_errors(json_col, rules)).withColumn("n_errors", F.size("errors"))
+    return out.withColumn("valid", (F.col("n_errors") == 0).cast("int"))
+
+
 def validate_records(df: DataFrame, json_col: str, kind: str = "event") -> DataFrame:
     """Add ``errors`` (array of texts), ``n_errors`` and ``valid``."""
     errs = event_errors(json_col) if kind == "event" else card_errors(json_col)

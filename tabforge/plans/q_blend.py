@@ -196,16 +196,10 @@ def q_weighted_vote(spark, d):
 
 @register("blend_selected", "B6 B4", _VOTE_SQL)
 def q_blend_selected(spark, d):
-    votes = {name: (df, w) for name, df, w in X.vote_tables(spark, d)}
-    # sources a/b/c stand for the stacked, threshold and generated predictions
-    avail = {"stacked": votes["a"][0].limit(1).count() > 0, "threshold": votes["b"][0].limit(1).count() > 0,
-             "plain": True, "generated": votes["c"][0].limit(1).count() > 0}
-    choice = B.select_blend_inputs(avail)
-    src = {"stacked": "a", "threshold": "b", "plain": "b", "generated": "c"}
-    tables = [(src[s], votes[src[s]][0], w) for s, w in choice.inputs]
-    if choice.action == "single":
-        return tables[0][1].select(F.col("doc_id").alias("id"), "prediction")
-    return B.blend(tables, "doc_id", "prediction")
+    # sources a/b/c stand for the stacked, threshold and generated predictions; an empty one is absent
+    a, b, c = (df if df.limit(1).count() else None for _, df, _ in X.vote_tables(spark, d))
+    out, _ = B.final_predictions({"stacked": a, "threshold": b, "plain": b, "generated": c}, "doc_id", "prediction")
+    return out
 
 
 def _score_tables(spark, d):
@@ -262,9 +256,8 @@ def q_blend_mode(spark, d):
 )
 def q_restore_label_format(spark, d):
     long = _long_votes(spark, d)
-    a = B.weighted_vote(long, as_bool=True).withColumnRenamed("prediction", "prediction_bool")
-    b = B.weighted_vote(long, as_bool=False).withColumnRenamed("prediction", "prediction_01")
-    return a.join(b, "id").select("id", F.col("prediction_01").cast("int").alias("prediction_01"), "prediction_bool")
+    majority = B.weighted_majority(long)  # one blend, written in both formats
+    return majority.select("id", B.vote_format("majority", False).cast("int").alias("prediction_01"), B.vote_format("majority", True).alias("prediction_bool"))
 
 
 @register(
@@ -300,14 +293,15 @@ group by doc_id""",
 )
 def q_stack_features(spark, d):
     from tabforge.functions.scalar import hash_bucket
+    from tabforge.plans.models import stack_wide
 
     lab = X.table(spark, d, "labels").select("doc_id")
     long = reduce(
         lambda a, b: a.unionByName(b),
         [lab.select("doc_id", F.lit(f"m{i}").alias("model"), (hash_bucket("doc_id", f"m{i}") / F.lit(4294967296.0)).alias("score")) for i in (1, 2, 3)],
     )
-    wide = long.groupBy("doc_id").pivot("model", ["m1", "m2", "m3"]).agg(F.first("score"))
-    return wide.select("doc_id", *[F.round(f"m{i}", 9).alias(f"m{i}") for i in (1, 2, 3)])
+    wide = stack_wide(long.withColumnRenamed("doc_id", "id"), ["m1", "m2", "m3"], has_fold=False)
+    return wide.select(F.col("id").alias("doc_id"), *[F.round(f"m{i}", 9).alias(f"m{i}") for i in (1, 2, 3)])
 
 
 @register(

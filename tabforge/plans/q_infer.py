@@ -37,11 +37,11 @@ from (select {e} as y, lower(trim(cast({e} as varchar))) as v from {tbl})"""
 
 @register("detect_task", "I1", "\nunion all\n".join(_sql_detect(*t) for t in _TARGETS))
 def q_detect_task(spark, d):
-    parts = []
+    by_table: dict[str, dict] = {}
     for name, tbl, expr in _TARGETS:
-        df = X.table(spark, d, tbl).select(F.expr(expr).alias("y"))
-        parts.append(I.detect_task(df, "y").select(F.lit(name).alias("target"), "task", "n_distinct", F.round("numeric_share", 9).alias("numeric_share")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        by_table.setdefault(tbl, {})[name] = F.expr(expr)
+    parts = [I.detect_tasks(X.table(spark, d, tbl), targets) for tbl, targets in by_table.items()]  # a scan a table
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("numeric_share", F.round("numeric_share", 9))
 
 
 @register(
@@ -191,7 +191,8 @@ select 'c_name' as column, 'split on ''#'' into ' || cast(len(string_split(ex_na
 union all select 'c_name', 'last token' from a
 union all select 'c_name', 'cast boolean' from a where nb_name = 0
 union all select 'c_mktsegment', 'cast boolean' from a where nb_seg = 0
-union all select 'c_acctbal', 'total, any, log1p' from a where z_bal > 0""",
+union all select 'c_acctbal', 'total, any, log1p' from a where z_bal > 0
+union all select 'c_name', 'group prefix before # of ' || ex_name from a where instr(ex_name, '#') > 0""",
 )
 def q_feature_hints(spark, d):
-    return I.feature_hints(X.table(spark, d, "customer"), ["c_name", "c_mktsegment"], ["c_acctbal"])
+    return I.feature_hints(X.table(spark, d, "customer"), ["c_name", "c_mktsegment"], ["c_acctbal"], "c_name")

@@ -288,3 +288,24 @@ def q_parse_event_params(spark, d):
     cut = F.concat(F.lit('TUNED_PARAMS:{"model": "'), "event_type", F.lit('", "params": '), "props")
     r = TO.parse_params(e.withColumn("m", F.when(F.col("event_type") == "error", cut).otherwise(whole)), "m")
     return r.select("event_id", "model", F.col("params").getItem("k").try_cast("double").alias("k"), (F.size("params") > 0).cast("int").alias("has_params"))
+
+
+_PROPS_RULES = [TO.FieldRule("k", ("integer",), low=10, high=89), TO.FieldRule("v", ("number", "text"), required=False)]
+
+
+@register(
+    "check_event_props",
+    "X6",
+    """select event_id, cast(len(e) as int) as n_errors, array_to_string(e, '; ') as errors, cast(len(e) = 0 as int) as valid
+from (select event_id, case when not coalesce(json_valid(props) and json_type(props) = 'OBJECT', false) then ['not a JSON object'] else list_filter([
+    case when coalesce(json_type(props, '$.k'), 'NULL') = 'NULL' then 'k: missing' end,
+    case when json_type(props, '$.k') not in ('UBIGINT', 'BIGINT', 'NULL') then 'k: not integer' end,
+    case when try_cast(json_extract_string(props, '$.k') as double) < 10 then 'k: below 10' end,
+    case when try_cast(json_extract_string(props, '$.k') as double) > 89 then 'k: above 89' end,
+    case when json_type(props, '$.v') not in ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR', 'NULL') then 'v: not number or text' end],
+    lambda x: x is not null) end as e from events)""",
+)
+def q_check_event_props(spark, d):
+    """The given JSON of ``events.props`` against a declared record."""
+    r = TO.check_records(X.table(spark, d, "events").select("event_id", "props"), "props", _PROPS_RULES)
+    return r.select("event_id", "n_errors", F.array_join("errors", "; ").alias("errors"), "valid")
