@@ -1,7 +1,7 @@
 """Every query with a SQL twin equals DuckDB on the same parquet tables; the others give the stated
 columns and as many rows as their tables ask for; the driver entry point works.
 
-The boosters at the reference's rounds take minutes each; TABFORGE_BOOSTERS=1 runs them too
+The boosters and forests at the reference's rounds take minutes each; TABFORGE_BOOSTERS=1 runs them too
 (``test_solve.py`` holds the same code against a plain version)."""
 
 import os
@@ -19,7 +19,6 @@ TEST = "select count(*) from documents where doc_id not in (select doc_id from l
 #: query -> (columns, SQL of its row count)
 SHAPES = {
     "fit_final": ("id prediction", TEST),
-    "threshold_solve": ("id prediction threshold oof_accuracy", TEST),
     "meta_logistic": ("id p split", "select count(*) from documents"),
     "oof_predict_multiclass": ("id fold split predicted max_proba", "select count(*) from embeddings"),
     "tune": ("trial params cv_mean error is_best", "select 100"),
@@ -32,6 +31,7 @@ BOOSTED = {
     "keep_if_better": ("name score is_baseline chosen", "select 2"),
     "model_tournament": ("model candidate_rank cv_mean cv_std cv_scores error is_best", "select 4"),
     "base_models": ("model rounds train_accuracy oof_accuracy", "select 4"),
+    "threshold_solve": ("id prediction threshold oof_accuracy", TEST),
     "stacking": ("id prediction", TEST),
     "stacking_regression": ("id prediction", "select count(*) from orders where ('0x' || substr(md5(o_orderkey::varchar), 1, 8))::bigint % 5 = 0"),
 }
