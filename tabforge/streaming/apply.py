@@ -18,15 +18,18 @@ from tabforge.session import ensure_checkpoint_dir
 
 
 def read_stream(spark: SparkSession, directory: str, like: DataFrame, glob: str | None = None, max_files: int | None = None) -> DataFrame:
-    """Parquet files of ``directory`` (optionally matching ``glob``) as a stream with
-    the schema of ``like``. All files that are there make one micro-batch unless ``max_files``
-    bounds it."""
+    """Parquet files of ``directory`` as a stream with the schema of ``like``; with ``glob`` those of its
+    entries of matching names, each a file or a folder of files (a table that many tasks wrote). All
+    files that are there make one micro-batch unless ``max_files`` bounds it."""
     r = spark.readStream.schema(like.schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.parquet(directory)
+    if not glob:
+        return r.parquet(directory)
+    # a plain name as a pattern too: a path without one has to be a folder, and a filter on file
+    # names would leave out the files of a folder
+    pattern = glob if any(c in glob for c in "*?[{") else f"{glob[:-1]}[{glob[-1]}]"
+    return r.parquet(f"{directory.rstrip('/')}/{pattern}")
 
 
 def run_to_table(stream: DataFrame, name: str | None = None) -> DataFrame:
