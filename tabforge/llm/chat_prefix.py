@@ -4,8 +4,8 @@ Every assistant turn is exploded into a training example of its own: all turns b
 context, and only that reply carries loss. The stored output holds each formatted turn once, with
 the length of its formatted prefix (``context_chars``); the examples are written out from it, one
 row a target, and each is gone once it is read. A conversation of n turns repeats its prefix up to
-n times, so beyond ``SPELLED_CHARS`` characters of examples a conversation's examples stay pairs of
-(prefix length, target turn).
+n times: the time of reading all examples grows with the square of n, what is held at once is one
+example and its conversation, at every size.
 
 Defined results: null text or role is the empty string; turns are ordered by (turn, role, text),
 nulls first; repeated rows are separate turns; a null conv_id is one conversation of its own;
@@ -21,8 +21,9 @@ from .common import let
 
 START, END = "<|im_start|>", "<|im_end|>"
 TARGET_ROLE = "assistant"
-#: Characters up to which a conversation's examples are written out.
-SPELLED_CHARS = 1 << 28
+#: None: every example is written out, whatever the input's size. A caller who sets a number asks for
+#: target turns alone (their prefix being ``context_chars`` long) beyond so many characters of examples.
+SPELLED_CHARS: int | None = None
 
 
 def escape(text):
@@ -76,8 +77,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def conversations(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (formatted turns in order with their loss offsets), formatted_chars, targets
-    (places of the target turns) and spelled (their examples are written out)."""
+    """conv_id, turns (formatted turns in order with their loss offsets), formatted_chars,
+    example_chars (of all its examples), targets (places of the target turns) and spelled (examples
+    are written out: always, unless ``SPELLED_CHARS`` is set)."""
     turn = F.struct("pos", "formatted", "is_target", "loss_start", "loss_end", "context_chars")
     size = F.length("formatted").cast("long")
     g = formatted.groupBy("conv_id").agg(
@@ -85,15 +87,14 @@ def conversations(formatted: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("is_target"), F.col("context_chars") + size).otherwise(0)).alias("example_chars"),
     )
     targets = F.transform(F.filter("turns", lambda x: x["is_target"]), lambda x: x["pos"])
-    return g.withColumns({"targets": targets, "spelled": F.col("example_chars") <= SPELLED_CHARS})
+    spelled = F.lit(True) if SPELLED_CHARS is None else F.col("example_chars") <= SPELLED_CHARS
+    return g.withColumns({"targets": targets, "spelled": spelled})
 
 
 def examples(chats: DataFrame) -> DataFrame:
     """The rows of ``conversations`` exploded, a row per target turn (one with null pos if there is
     none): pos, text (all turns before it, then the target turn), loss_start, loss_end (of the reply
-    in ``text``). All examples of a conversation together grow with the square of its turns; beyond
-    ``SPELLED_CHARS`` of them an example's text is its target turn alone, whose prefix the earlier
-    turns are."""
+    in ``text``)."""
     one = chats.select("*", F.explode_outer("targets").alias("pos")).withColumn("own", F.get("turns", F.col("pos")))
     whole = F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("pos").cast("int") + 1), lambda x: x["formatted"]), "")
     shift = F.when(F.col("spelled"), F.col("own.context_chars")).otherwise(0)
