@@ -16,6 +16,7 @@ import heapq
 import json
 import unicodedata
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -46,31 +47,34 @@ class RankBpe:
         for rank, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.ranks.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+        #: rank of a pair, and by rank the id it becomes
+        self.rank = {pair: r for pair, (r, _) in self.ranks.items()}
+        self.made = {r: new for r, new in self.ranks.values()}
         self.letters = byte_letters()
         self.split = regex.compile(cfg["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.space = regex.compile(r"\s+")
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.words = _Cache(self._word, cache)
         self.chunks = _Cache(self._chunk, cache)
+        self.packed = _Cache(self._packed, cache)
 
     def merge(self, ids: list[int]) -> list[int]:
         if len(ids) > LONG:
             return self._merge_long(ids)
-        look = self.ranks.get
-        none = (_NONE, -1)
+        look, made = self.rank.get, self.made
         ids = list(ids)
-        ranks = [look(p, none) for p in zip(ids, ids[1:])]
+        ranks = [look(p, _NONE) for p in zip(ids, ids[1:])]
         while ranks:
             low = min(ranks)
-            if low[0] == _NONE:
+            if low == _NONE:
                 break
             i = ranks.index(low)
-            ids[i : i + 2] = [low[1]]
+            ids[i : i + 2] = [made[low]]
             del ranks[i]
             if i < len(ranks):
-                ranks[i] = look((ids[i], ids[i + 1]), none)
+                ranks[i] = look((ids[i], ids[i + 1]), _NONE)
             if i:
-                ranks[i - 1] = look((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = look((ids[i - 1], ids[i]), _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -104,6 +108,11 @@ class RankBpe:
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         return self._pair([i for w in self.split(chunk) for i in self.words[w]])
 
+    def _packed(self, chunk: str) -> bytes:
+        words = self.split(chunk)
+        ids = self.words[words[0]] if len(words) == 1 else [i for w in words for i in self.words[w]]
+        return pack(f"<{len(ids)}I", *ids)
+
     def normalise(self, text: str) -> str:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
         # a capital sigma is lower-cased without regard to its place in the word
@@ -122,7 +131,16 @@ class RankBpe:
         return [self.chunks[c] for c in self.normalise(text).split(" ") if c]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(p[0] for p in self.pairs(text))
+        """The ids of ``pairs`` alone."""
+        out, at = [], 0
+        for m in self.special.finditer(text) if self.special else ():
+            out += self._plain_ids(text[at : m.start()])
+            out.append(pack("<I", self.added[m[0]]))
+            at = m.end()
+        return b"".join(out + self._plain_ids(text[at:]))
+
+    def _plain_ids(self, text: str) -> list[bytes]:
+        return [self.packed[c] for c in self.normalise(text).split(" ") if c]
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -16,3 +16,14 @@ def test_every_example_holds_its_whole_prefix_whatever_their_size(spark):
         assert r["n"] == own[r["pos"]]["context_chars"] + own[r["pos"]]["n"]
         assert r["loss_start"] == own[r["pos"]]["context_chars"] + own[r["pos"]]["loss_start"]
         assert r["reply"] == f"text {r['pos']} "[:7]
+
+
+def test_ids_alone_equal_the_ids_of_pairs():
+    import public_tokenizers
+
+    from tabforge.llm.rank_bpe import RankBpe
+
+    bpe = RankBpe(public_tokenizers.path("word_bpe_49k.json"))
+    special = next(iter(bpe.added), "")
+    for text in ("", "Hello, WORLD! don't stop", f"a{special} b {special}{special}", "x" * 500 + " ÄÖ ß 漢字 Σίσυφος 12:30", "\n\t two blanks "):
+        assert bpe.encode(text) == b"".join(p[0] for p in bpe.pairs(text))
