@@ -320,16 +320,33 @@ def stack_wide(long: DataFrame, models: list[str], has_fold: bool) -> DataFrame:
     return long.groupBy(*keys).pivot("model", models).agg(F.first("score"))
 
 
-def _expand_scores(wide: DataFrame, models: list[str], task: str, n_classes: int) -> tuple[DataFrame, list[str]]:
-    if task != MULTICLASS:
-        return wide, models
-    cols = []
-    out = wide
-    for m in models:
-        for c in range(n_classes):
-            out = out.withColumn(f"{m}_p{c}", F.col(m)[c])
-            cols.append(f"{m}_p{c}")
-    return out, cols
+def stack_rows(data: ModelData, fitted: list[tuple[str, list]], k: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """J6 without a shuffle of scores: each row gets the scores of all base models (name, its k fold
+    models) as columns where it lies. Train rows (id, fold, label, scores; a null id takes no part)
+    by the models that left their fold out; test rows (id, scores) by the mean over the k models, one
+    row an id."""
+    sc, many = _score_col(data.task), data.task == MULTICLASS
+    cols = [f"{name}_p{c}" for name, _ in fitted for c in range(data.n_classes)] if many else [name for name, _ in fitted]
+
+    def scored(rows, asked):
+        for out, model in asked:
+            rows = model.transform(rows).select(*rows.columns, sc.alias(out))
+        return rows
+
+    def spread(values):
+        """The columns of each model: one, or one a class."""
+        wide = [v(c) for v in values for c in (range(data.n_classes) if many else [None])]
+        return [x.alias(c) for x, c in zip(wide, cols, strict=True)]
+
+    def mean(i):
+        return lambda c: reduce(lambda a, b: a + b, [F.col(f"__{i}_{f}") if c is None else F.col(f"__{i}_{f}")[c] for f in range(k)]) / F.lit(float(k))
+
+    own = [lambda c, i=i: F.col(f"__{i}") if c is None else F.col(f"__{i}")[c] for i in range(len(fitted))]
+    train = data.train.where(F.col("id").isNotNull())
+    parts = [scored(train.where(F.col("fold") == f), [(f"__{i}", m[f]) for i, (_, m) in enumerate(fitted)]).select("id", "fold", "label", *spread(own)) for f in range(k)]
+    test = scored(data.test, [(f"__{i}_{f}", m[f]) for i, (_, m) in enumerate(fitted) for f in range(k)])
+    test = test.select("id", *spread([mean(i) for i in range(len(fitted))])).groupBy("id").agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in cols])
+    return reduce(DataFrame.unionByName, parts), test, cols
 
 
 def meta_logistic(train_s: DataFrame, test_s: DataFrame | None, cols: list[str], k: int, c_reg: float = 1.0):
@@ -451,25 +468,22 @@ def stack(
     from tabforge.operators.infer import decode_predictions
 
     cands = models or base_models(data.task, scale)
-    oofs, tests, names, failed = [], [], [], {}
+    # every fit and every fold's scores read these rows again
+    for rows in (data.train, data.test):
+        if rows.storageLevel == StorageLevel.NONE:
+            rows.persist(StorageLevel.MEMORY_AND_DISK)
+    fitted, failed = [], {}
     for name, factory in cands:
         try:
-            o, t = oof_predict(name, factory, data, k)
-            oofs.append(o)
-            tests.append(t)
-            names.append(name)
+            with _pool(k) as ex:
+                fitted.append((name, list(ex.map(lambda f, make=factory: fit_score(make, data, f)[0], range(k)))))
         except Exception as e:  # noqa: BLE001 - a failing model is skipped
             failed[name] = f"{type(e).__name__}: {e}"
-    if not names:
+    if not fitted:
         raise RuntimeError(f"all base models failed: {failed}")
-    long_tr = reduce(lambda a, b: a.unionByName(b), oofs)
-    long_te = reduce(lambda a, b: a.unionByName(b), tests)
-    wide_tr = stack_wide(long_tr, names, True).join(data.train.select("id", "label"), "id")
-    wide_te = stack_wide(long_te, names, False)
-    wide_tr, cols = _expand_scores(wide_tr, names, data.task, data.n_classes)
-    wide_te, _ = _expand_scores(wide_te, names, data.task, data.n_classes)
-    wide_tr = cut_lineage(wide_tr.select("id", "fold", "label", *cols))
-    wide_te = cut_lineage(wide_te.select("id", *cols))
+    names = [name for name, _ in fitted]
+    wide_tr, wide_te, cols = stack_rows(data, fitted, k)
+    wide_tr, wide_te = cut_lineage(wide_tr), cut_lineage(wide_te)
     data.release()  # the meta level reads only the checkpointed score tables
     thr = None
     if data.task == REGRESSION:
