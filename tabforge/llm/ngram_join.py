@@ -92,6 +92,15 @@ def may_link(na: int, sa: tuple[int, int], nb: int, sb: tuple[int, int], percent
     return (_fold(*sa, cells) ^ _fold(*sb, cells)).bit_count() <= most_different(na, nb, percent)
 
 
+def _halved(batches):
+    """uid and sketch folded once (never below 64 cells): four cells and more per allowed difference
+    still tell unrelated sets apart, and the sketch is what a compared list entry mostly consists of."""
+    for b in batches:
+        cells = [np.frombuffer(s, np.uint8) for s in b.column(1).to_pylist()]
+        half = [(c[: len(c) // 2] ^ c[len(c) // 2 :] if len(c) > 8 else c).tobytes() for c in cells]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(half, pa.binary())], ["uid", "sketch"])
+
+
 def _bits(raw: bytes) -> tuple[int, int]:
     return int.from_bytes(raw, "little"), 8 * len(raw)
 
@@ -318,7 +327,7 @@ def _other_candidates(lists: DataFrame, nodes: DataFrame, comp: DataFrame, perce
     at = at.join(mixed.select("gram", "least", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "gram")
     at = at.filter(F.col("most") >= F.greatest("least", F.ceil(F.col("n") * percent / 100)))
     own = F.pmod(F.xxhash64(F.lit("block"), "uid"), F.col("blocks")).cast("int")
-    at = at.withColumn("own", own).join(nodes.select("uid", "sketch"), "uid")
+    at = at.withColumn("own", own).join(nodes.select("uid", "sketch").mapInArrow(_halved, "uid long, sketch binary"), "uid")
     at = at.select("gram", "uid", "n", "most", "root", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     at = at.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "n", "most", "root", "sketch", "own")
 
