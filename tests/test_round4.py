@@ -31,3 +31,35 @@ def test_stacked_scores_meet_without_a_shuffle(spark):
     assert places(train, "id", "fold", "label") == places(old, "id", "fold", "label")
     assert places(test, "id") == places(M.stack_wide(mean, cols, False), "id")
     assert test.where(F.col("id").isNull()).count() == 1
+
+
+def _two_classes(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(300, 3))
+    rows = [(i, i % 3, float(x[i, 0] > 0.2 * x[i, 1]), x[i].tolist()) for i in range(300)]
+    return spark.createDataFrame(rows, "id long, fold int, label double, features array<double>").repartition(6, "id").cache()
+
+
+def test_a_tournament_fits_no_model_of_all_rows_and_scores_alike(spark, monkeypatch):
+    from tabforge.operators.infer import BINARY
+    from tabforge.plans import learners as L
+    from tabforge.plans import models as M
+    from tabforge.plans import tuning as T
+    from tabforge.plans.boost import HistBoost, fit_boosters
+
+    rows, fits = _two_classes(spark), []
+
+    def forest():
+        fits.append(1)
+        return M.make_estimator("forest", BINARY, {"n_estimators": 5, "max_depth": 4})
+
+    small = HistBoost(6, 3, 0.3, rows=0.8, min_rows=2)
+    scores, failed = T.cv_scores([("b", small), ("f", L.MllibLearner(forest))], rows, BINARY, 2, 3)
+    assert not failed and len(fits) == 3  # formerly 4
+    held = [fit_boosters([small], rows, BINARY, 2, 3, refit)[0] for refit in (True, False)]
+    assert held[0].k == held[1].k == 3 and held[1].params[-1] is None
+    got = [{r["id"]: r["score"] for r in m.held_out(rows).collect()} for m in held]
+    assert got[0] == got[1]
+    hits = held[0].held_out(rows).groupBy("fold").agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("double")).alias("a"))
+    assert scores["b"] == [r["a"] for r in hits.orderBy("fold").collect()]
