@@ -57,6 +57,21 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def by_bytes(batches, column: int, most: int = 4 << 20):
+    """Arrow batches cut so that the texts (or bytes) of ``column`` are at most ``most`` bytes a piece,
+    one row at least: what a task makes of a piece then takes bounded memory, and no row is lost."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, lo, before = np.cumsum(lengths, dtype=np.int64), 0, 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield b.slice(lo, hi - lo)
+            lo, before = hi, int(ends[hi - 1])
+
+
 def split_words(text):
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text column (empty: no words)."""
     trimmed = F.btrim(text, F.lit(WS_CHARS))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total, shuffle_partitions, stage
+from .common import by_bytes, running_total, shuffle_partitions, stage
 from .token_library import text_encoder
 
 LENGTH = 1024
@@ -86,30 +86,35 @@ def hilbert_keys(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Staged: doc_id, n_tokens (with the end id), x0.. (place), ids (bytes), uid (row)."""
-    xs = [f"x{i}" for i in range(DIMS)]
+_XS = [f"x{i}" for i in range(DIMS)]
 
-    def rows(batches):
-        enc = text_encoder(path)
-        vocab = enc.tok.get_vocab_size()
-        small = np.uint16 if vocab <= 1 << 16 else np.uint32
-        for b in batches:
-            ids, n = enc.encode_batch(b.column(1), end_id)
-            p = project(ids, n, vocab).astype(np.float64)
-            at = np.concatenate([[0], np.cumsum(n)]) * np.dtype(small).itemsize
-            raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype(small))])
-            cols = [b.column(0), pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(DIMS)], raw.cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", *xs, "ids"])
 
+def token_rows(batches, path: str, end_id: int):
+    """doc_id, n_tokens, x0.., ids of (doc_id, text) rows. A piece of a batch at a time: the ids and
+    lists of a whole batch stayed in the worker's memory through all later steps."""
+    enc = text_encoder(path)
+    vocab = enc.tok.get_vocab_size()
+    small = np.uint16 if vocab <= 1 << 16 else np.uint32
+    for b in by_bytes(batches, 1):
+        ids, n = enc.encode_batch(b.column(1), end_id)
+        p = project(ids, n, vocab).astype(np.float64)
+        at = np.concatenate([[0], np.cumsum(n)]) * np.dtype(small).itemsize
+        raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype(small))])
+        cols = [b.column(0), pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(DIMS)], raw.cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", *_XS, "ids"])
+
+
+def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """Staged: doc_id, n_tokens (with the end id), x0.. (place), ids (bytes), uid (row)."""
     d = docs.select("doc_id", "text")
-    ddl = f"doc_id {dict(d.dtypes)['doc_id']}, n_tokens long, {', '.join(f'{x} double' for x in xs)}, ids binary"
-    return stage(d.mapInArrow(rows, ddl).withColumn("uid", F.monotonically_increasing_id()), "pack-tokens")
+    ddl = f"doc_id {dict(d.dtypes)['doc_id']}, n_tokens long, {', '.join(f'{x} double' for x in _XS)}, ids binary"
+    made = d.mapInArrow(lambda batches: token_rows(batches, path, end_id), ddl)
+    return stage(made.withColumn("uid", F.monotonically_increasing_id()), "pack-tokens")
 
 
 def curve_keys(tokens: DataFrame) -> DataFrame:
     """uid, key, n_tokens: the Hilbert key of every row of a token table."""
-    xs = [f"x{i}" for i in range(DIMS)]
+    xs = _XS
     s = tokens.agg(*[f(x).alias(f"{f.__name__}_{x}") for x in xs for f in (F.avg, F.stddev_pop)]).collect()[0]
     mean = np.array([s[f"avg_{x}"] or 0.0 for x in xs])
     dev = np.array([s[f"stddev_pop_{x}"] or 1.0 for x in xs])
@@ -131,7 +136,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
     whole = tokens.select("uid", "doc_id", "ids", "n_tokens").join(placed.select("uid", F.col("start").alias("at")), "uid")
 
     def cut(batches):
-        for b in batches:
+        for b in by_bytes(batches, 1):
             out: list[list] = [[] for _ in range(7)]
             for doc, raw, n, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "n_tokens", "at")), strict=True):
                 wide = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")

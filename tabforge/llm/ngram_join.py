@@ -214,7 +214,8 @@ def divide_skip(query: np.ndarray, chunk: list[tuple[int, np.ndarray]], percent:
 
 def _runs(batches, keys: int):
     """Lists of rows with equal first ``keys`` columns, from rows sorted on them."""
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    parts = (b.slice(lo, BLOCK) for b in batches for lo in range(0, b.num_rows, BLOCK))
+    rows = (r for b in parts for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
     for key, run in groupby(rows, key=lambda r: r[:keys]):
         yield key, run
 
@@ -230,7 +231,7 @@ def search(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int, p
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("d"), "text").join(need, "d").select("q", "chunk", "node", "k1", "k2", "text")
 
     def sets(batches):
-        for b in batches:
+        for b in by_bytes(batches, 5):
             keep, grams = [], []
             for i, (k1, t) in enumerate(zip(b.column(3).to_pylist(), b.column(5), strict=True)):
                 g = shingle_set(t.as_py(), shingle)
