@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free_prefix, shuffle_partitions, stage, unstage
+from .common import broadcast_if_small, by_bytes, free_prefix, shuffle_partitions, stage, unstage
 from .shingles import mix, shingle_set
 
 SHINGLE = 4
