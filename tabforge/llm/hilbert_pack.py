@@ -135,8 +135,10 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
     placed = running_total(curve_keys(tokens), ["key", "uid"], "n_tokens", "pack-places", shuffle_partitions(docs.sparkSession))
     whole = tokens.select("uid", "doc_id", "ids", "n_tokens").join(placed.select("uid", F.col("start").alias("at")), "uid")
 
+    ids_at = whole.columns.index("ids")
+
     def cut(batches):
-        for b in by_bytes(batches, 1):
+        for b in by_bytes(batches, ids_at):
             out: list[list] = [[] for _ in range(7)]
             for doc, raw, n, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "n_tokens", "at")), strict=True):
                 wide = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
