@@ -57,3 +57,15 @@ def test_a_predictor_scores_a_cell_once_and_forgets(spark, monkeypatch):
         got = model.predict(model.params[-1], x[at : at + 150])
         assert [want[i] for i in ids[at : at + 150]] == got.tolist()
     assert model.predict(model.params[-1], x[:0]).shape == (0,)
+
+
+def test_batches_are_scored_together_in_their_order():
+    import pyarrow as pa
+
+    from tabforge.plans.learners import _larger
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64()), pa.array([[float(i)] for i in range(a, b)], pa.list_(pa.float64()))], ["i", "x"]) for a, b in ((0, 3), (3, 3), (3, 9), (9, 10), (10, 12))]
+    got = [*_larger(batches, 5)]
+    assert [b.num_rows for b in got] == [9, 3] and [i for b in got for i in b.column(0).to_pylist()] == [*range(12)]
+    assert [v for b in got for v in b.column(1).to_pylist()] == [[float(i)] for i in range(12)]
+    assert [*_larger([], 5)] == [] and sum(b.num_rows for b in _larger(batches[1:2], 5)) == 0
